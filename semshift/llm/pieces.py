@@ -60,7 +60,7 @@ class Model:
         self.unknown = sp.unk_id()
         self.fallback = any(byte)
         self.out = [b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else bytes([int(t[3:-1], 16)]) if byte[i] else t.replace(MARK, " ").encode() for i, t in enumerate(texts)]
-        self.cache = ChunkCache(self.encode_chunks, 350_000)
+        self.cache = ChunkCache(self.encode_chunks, 150_000)
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """start, end, rank and id of every occurrence of a piece in the text, in order of position."""

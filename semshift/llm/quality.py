@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, label
     own = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(parts, most=1 << 21):
+        for b in gathered(parts, most=1 << 20):
             x = pools(Words(b.column(2).cast(pa.large_binary())), own.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "u", "x"])
 
@@ -175,7 +175,7 @@ def score(docs: DataFrame, contexts: np.ndarray, network: Network | None, text:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, net = model.value
-        for b in gathered(parts, most=1 << 21):
+        for b in gathered(parts, most=1 << 20):
             p = np.full(b.num_rows, 0.5) if net is None else net(pools(Words(b.column(1).cast(pa.large_binary())), c))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
 

@@ -59,7 +59,7 @@ class Encoder:
         self.by_piece.normalizer = None
         self.by_piece.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.simple = bool(suffix) and self._simple()
-        self.cache = ChunkCache(self._encode, 350_000)
+        self.cache = ChunkCache(self._encode, 150_000)
 
     def _simple(self) -> bool:
         """Whether this file's normalizer and pre-tokenizer are those that the fast path stands in for."""

@@ -101,7 +101,7 @@ def _segments(span: int):
     """One row for each run of windows whose anchor is among the document's shared ones: anchor, row, first word, the run's text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(parts, most=1 << 21):
+        for b in gathered(parts, most=1 << 19):
             g = Grid(_unpacked(b, 2))
             start, at, anchor = _windows(g, span)
             lists = b.column(3)
@@ -128,7 +128,7 @@ def _subtrees(span: int):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last anchor's leaves: anchor, words' hashes, first document
-        for b in gathered(parts, most=1 << 22):
+        for b in gathered(parts, most=1 << 21):
             g = Grid(b.column(4).cast(pa.large_binary()))
             h = g.hashes()
             n = max(0, len(h) - span + 1)

@@ -16,7 +16,7 @@ _powers = {"n": 0}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
+        size = n + n // 4 + 1
         for name, r in (("up", _R), ("down", _R_INV)):
             p = np.full(size, r, np.uint64)
             p[0] = 1
@@ -62,7 +62,11 @@ class Grid:
     def hashes(self) -> np.ndarray:
         up, down = _power(len(self.data))
         sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
+        part = sums[1:]
+        part[:] = self.data
+        part += np.uint64(1)
+        part *= up[: len(self.data)]
+        np.cumsum(part, out=part)
         return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
 
     def joined(self, i: np.ndarray, j: np.ndarray) -> list[bytes]:
@@ -81,14 +85,14 @@ def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mixed(out, 0x94D049BB133111EB)
 
 
-def gathered(parts: Iterator[pa.RecordBatch], rows: int = 1 << 18, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def gathered(parts: Iterator[pa.RecordBatch], rows: int = 1 << 18, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches joined into larger ones, up to so many rows or bytes."""
     held: list[pa.RecordBatch] = []
     n = size = 0
     for b in parts:
-        for at in range(0, b.num_rows, 1024):
-            s = b.slice(at, 1024)
-            if held and (n + s.num_rows > rows or size + s.get_total_buffer_size() * 0 + s.nbytes > most):
+        for at in range(0, b.num_rows, 128):
+            s = b.slice(at, 128)
+            if held and (n + s.num_rows > rows or size + s.nbytes > most):
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, n, size = [], 0, 0
             held.append(s)
