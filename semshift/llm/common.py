@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # batches of whole texts to Python workers stay small, whatever the texts' lengths
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+pa.set_memory_pool(pa.system_memory_pool())  # workers give memory back between stages
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _R = 0x9E3779B97F4A7C15
