@@ -3,13 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import document as d
+from ..operators import questions as q
+from ..sources import lens
+
+#: Name of a query -> function of the entity tables.
+ANALYTICS: dict[str, Callable[[lens.Entities], DataFrame]] = {
+    **{f"cq{i:02d}": getattr(q, f"cq{i:02d}") for i in range(1, 13)},
+    **{
+        name: getattr(d, name)
+        for name in (
+            "flat_events", "by_decade_type", "trigger_impact", "facets", "meta_counts", "word_span", "xling_symmetric", "facet_filter", "top_cause", "cause_rank", "decade_stack", "trend_buckets", "trend_share", "lexical_loss",
+            "xling_pairs", "trigger_summary", "trigger_reach", "trigger_cooccur", "bipartite_edges", "bipartite_degree", "category_freq", "connotation_arc", "geo_points", "geo_impact", "trigger_hypotheses", "csv_words", "claims_ledger", "fuzzy_search",
+        )
+    },
+    "word_dedup": d.words_merged,
+    "facet_year_overlap": partial(d.facet_filter, search="", langs=(), qualities=(), year_from=1996, year_to=1997),
+    "fmt_year": d.year_formats,
+    "shacl_report": d.shape_report,
+}
+
+
+def _on_lens(analytic: Callable[[lens.Entities], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: analytic(lens.Entities(spark, folder))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _on_lens(f) for name, f in ANALYTICS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: f"{lens.SQL.rstrip()}{'' if sql.startswith(',') else ' '}{sql}" for name, sql in (q.SQL | d.SQL).items()}
