@@ -52,7 +52,7 @@ def facets(e: Entities) -> DataFrame:
         key = rank_in(F.col("value"), order) if order else F.lit(0)
         return d.select(F.lit(name).alias("facet"), "value", F.row_number().over(Window.orderBy(key, "value")).alias("ord"))  # a handful of values
 
-    parts = [one("language", e.word, "lang"), one("driftType", e.event, "type"), one("connotation", e.sense, "connotation"), one("evidenceType", e.evidence, "evidence"), one("source", e.word, "source", SOURCES), one("quality", e.word, "quality", QUALITIES)]
+    parts = [one("language", e.word, "lang"), one("driftType", e.event_type, "type"), one("connotation", e.sense, "connotation"), one("evidenceType", e.evidence, "evidence"), one("source", e.word, "source", SOURCES), one("quality", e.word, "quality", QUALITIES)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -200,16 +200,15 @@ def connotation_arc(e: Entities) -> DataFrame:
 
 
 def geo_points(e: Entities) -> DataFrame:
-    lon = F.when(F.col("s_suppkey") % 7 != 0, F.col("s_suppkey") % 180)
-    g = e.read("supplier").select(F.col("s_suppkey").alias("trigger_id"), F.round(F.col("s_acctbal") % 90, 4).alias("lat"), lon.cast("double").alias("lon"))
-    return g.where("lat is not null and lon is not null and not isnan(lat)")
+    """Places with finite coordinates."""
+    return e.geo.where("abs(lat) < double('infinity') and abs(lon) < double('infinity') and not isnan(lat) and not isnan(lon)")
 
 
 def geo_impact(e: Entities) -> DataFrame:
     return geo_points(e).join(trigger_impact(e).select(F.col("trigger").alias("trigger_id"), "wordCount"), "trigger_id")
 
 
-def trigger_hypotheses(e: Entities, trigger: int = 3) -> DataFrame:
+def trigger_hypotheses(e: Entities, trigger: int | str = 3) -> DataFrame:
     """Words and confidences of one trigger, unknown confidence last."""
     h = e.hypothesis.where(F.col("trigger_id") == trigger).join(e.event.select("event_id", "word_id", "year"), "event_id").join(e.word.select("word_id", "form", "lang"), "word_id")
     first = h.withColumn("r", F.row_number().over(Window.partitionBy("form", "lang").orderBy(F.coalesce("confidence", F.lit(-1.0)).desc(), "event_id"))).where("r = 1")

@@ -30,14 +30,13 @@ def cq02(e: Entities, word: str = "w7") -> DataFrame:
 
 def cq03(e: Entities) -> DataFrame:
     """Hypotheses by trigger category and drift type; triggers without a category vanish."""
-    j = e.hypothesis.select("event_id", "trigger_id").join(e.trigger.where("category is not null").select("trigger_id", "category"), "trigger_id").join(e.event.select("event_id", "type"), "event_id")
+    j = e.hypothesis.select("event_id", "trigger_id").join(e.trigger.where("category is not null").select("trigger_id", "category"), "trigger_id").join(e.event_type, "event_id")
     return j.groupBy("category", F.col("type").alias("driftType")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cq04(e: Entities, before: str = "1995-02-01") -> DataFrame:
+def cq04(e: Entities) -> DataFrame:
     """Pairs of words of different languages with events of one type, in order of their ids. The lens keeps to early events."""
-    early = e.read("orders").where(F.col("o_orderdate") < F.lit(before).cast("timestamp")).select(F.col("o_orderkey").alias("event_id"))
-    x = e.event.join(early, "event_id", "left_semi").join(e.word, "word_id").select("type", "word_id", "form", "lang", "year")
+    x = e.early_event.drop("type").join(e.event_type, "event_id").join(e.word, "word_id").select("type", "word_id", "form", "lang", "year")
     a = x.select("type", F.col("word_id").alias("i1"), F.col("form").alias("word1"), F.col("lang").alias("lang1"), F.col("year").alias("year1"))
     b = x.select("type", F.col("word_id").alias("i2"), F.col("form").alias("word2"), F.col("lang").alias("lang2"), F.col("year").alias("year2"))
     j = a.join(b, "type").where("lang1 <> lang2 and cast(i1 as string) < cast(i2 as string)")
@@ -87,9 +86,8 @@ def cq09(e: Entities) -> DataFrame:
 
 
 def word_senses(e: Entities) -> DataFrame:
-    """word_id, sense_id of every sense that a word's events lead from or to."""
-    s = e.event_sense.select("event_id", F.explode(F.array("sense_from", "sense_to")).alias("sense_id"))
-    return s.join(e.event.select("event_id", "word_id"), "event_id").select("word_id", "sense_id").distinct()
+    """word_id, sense_id of every sense of a word."""
+    return e.word_sense
 
 
 def cq10(e: Entities) -> DataFrame:
@@ -100,15 +98,14 @@ def cq10(e: Entities) -> DataFrame:
 
 def cq11(e: Entities, drift_type: str = "1-URGENT") -> DataFrame:
     """Words with events of one type; hypothesis, trigger and label together or not at all."""
-    ev = e.event.where(F.col("type") == F.lit(drift_type)).select("event_id", "word_id", "year").join(e.word.select("word_id", F.col("form").alias("word")), "word_id")
+    ev = e.event.join(e.event_type.where(F.col("type") == F.lit(drift_type)), "event_id", "left_semi").select("event_id", "word_id", "year").join(e.word.select("word_id", F.col("form").alias("word")), "word_id")
     h = e.hypothesis.join(e.trigger.select("trigger_id", F.col("label").alias("triggerLabel")), "trigger_id")
     return ev.join(h, "event_id", "left").select("word", "year", "triggerLabel", "confidence")
 
 
 def cq12(e: Entities) -> DataFrame:
-    """Distinct sources of each event and form, with their titles. On the lens a source is a ship year."""
-    src = e.read("lineitem").select(F.col("l_orderkey").alias("event_id"), F.concat(F.lit("S"), F.year("l_shipdate").cast("string")).alias("title")).distinct()
-    g = src.groupBy("event_id").agg(F.countDistinct("title").alias("nSources"), _joined("title", " | ").alias("sources"))
+    """Distinct sources of each event and form, with their titles."""
+    g = e.event_source.groupBy("event_id").agg(F.countDistinct("source_id").alias("nSources"), _joined("title", " | ").alias("sources"))
     return g.join(e.event.select("event_id", "word_id"), "event_id").join(e.word.select("word_id", F.col("form").alias("word")), "word_id").select("word", "nSources", "sources")
 
 

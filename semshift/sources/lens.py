@@ -84,6 +84,33 @@ class Entities:
         b = w.select(F.col("word_id").alias("b"), F.col("lang").alias("lb"))
         return a.join(b, F.col("b") == F.col("a") + 1).where("la <> lb").select("a", "b")
 
+    @cached_property
+    def event_type(self) -> DataFrame:
+        return self.event.select("event_id", "type")
+
+    @cached_property
+    def early_event(self) -> DataFrame:
+        """Events of the first month, to which the lens holds the pairs of cq04."""
+        early = self.read("orders").where(F.col("o_orderdate") < F.lit("1995-02-01").cast("timestamp")).select(F.col("o_orderkey").alias("event_id"))
+        return self.event.join(early, "event_id", "left_semi")
+
+    @cached_property
+    def word_sense(self) -> DataFrame:
+        """word_id, sense_id of every sense that a word's events lead from or to."""
+        s = self.event_sense.select("event_id", F.explode(F.array("sense_from", "sense_to")).alias("sense_id"))
+        return s.join(self.event.select("event_id", "word_id"), "event_id").select("word_id", "sense_id").distinct()
+
+    @cached_property
+    def event_source(self) -> DataFrame:
+        """A source is a ship year."""
+        title = F.concat(F.lit("S"), F.year("l_shipdate").cast("string"))
+        return self.read("lineitem").select(F.col("l_orderkey").alias("event_id"), title.alias("source_id"), title.alias("title")).distinct()
+
+    @cached_property
+    def geo(self) -> DataFrame:
+        lon = F.when(F.col("s_suppkey") % 7 != 0, F.col("s_suppkey") % 180)
+        return self.read("supplier").select(F.col("s_suppkey").alias("trigger_id"), F.round(F.col("s_acctbal") % 90, 4).alias("lat"), lon.cast("double").alias("lon"))
+
 
 #: The same tables as common table expressions; a query's SQL follows.
 SQL = """
