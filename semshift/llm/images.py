@@ -1,8 +1,8 @@
 """Media columns: copies of images, cropped or edited, by local descriptors.
 
 Corners (least-eigenvalue response, several scales) get an orientation from their intensity centroid and 96 binary tests
-turned by it. Descriptors meet on any of four 24-bit tables (pigeonhole: three differing bits or fewer can't miss) and
-are verified by Hamming distance. Each meeting proposes one turn, scale and shift; a pair of images is a copy if enough
+turned by it. Descriptors meet on any of four 24-bit tables (pigeonhole: three differing bits or fewer can't miss); images with
+such a meeting are candidates. Their corners propose turn, scale and shift; a pair of images is a copy if enough
 distinct corners agree on one proposal.
 
 The shipped tables hold no images, so the query draws one for each row of `embeddings` (`drawn`), indexes all of them,
@@ -12,6 +12,8 @@ and searches edited copies of the rows whose id is divisible by 50.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,9 @@ from .common import stored, table
 
 #: Scales; corners kept at each; patch radius; binary tests; turns that tests are prepared for.
 SCALES, CORNERS, RADIUS, TESTS, TURNS = (1.0, 0.7), 16, 9, 96, 36
-#: Most differing bits of a meeting; corners that must agree; sizes of proposals: degrees, octaves, pixels.
-MOST_BITS, LEAST_VOTES, BIN_TURN, BIN_SCALE, BIN_SHIFT = 12, 5, 30.0, 0.6, 8.0
+#: Differing bits of corners that make two images candidates (fewer than the tables, so none is missed), and of corners that vote;
+#: corners that must agree; sizes of proposals: degrees, octaves, pixels.
+NEAR_BITS, MOST_BITS, LEAST_VOTES, BIN_TURN, BIN_SCALE, BIN_SHIFT = 3, 12, 5, 30.0, 0.6, 8.0
 
 
 def _tests(seed: int = 23) -> np.ndarray:
@@ -152,20 +155,24 @@ def descriptors(images: DataFrame, image_id: str = "image_id", image: str = "ima
 def copies(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, image_id, votes of descriptor tables: images of the index that a query image is a copy of.
 
-    Tables of few distinct rows aren't broadcast by hand; the join's keys spread and split as they need.
+    Two corners within NEAR_BITS share one of the four tables' values, without exception. Images with such a meeting are
+    candidates; only their corners vote, if they share a table's value and differ in MOST_BITS or less. So alike corners of unlike images, of
+    which there are as many as pairs of images, end at the tables unless they are all but equal.
     """
 
+    def named(d: DataFrame, p: str) -> DataFrame:
+        return d.select(*[F.col(c).alias(p + c) for c in d.columns])
+
     def keyed(d: DataFrame, p: str) -> DataFrame:
-        d = d.select(*[F.col(c).alias(p + c) for c in d.columns])
         tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col(f"{p}b{k}").alias("v")) for k in range(4)])
-        return d.withColumn("k", F.explode(tables)).select("*", F.col("k.t").alias("t"), F.col("k.v").alias("v")).drop("k")
+        words = [f"{p}b{k}" for k in range(4)]
+        return d.select(f"{p}image_id", *words, F.explode(tables).alias("k")).select(f"{p}image_id", *words, "k.t", "k.v")
 
-    q, m = keyed(queries, "q_"), keyed(index, "m_")
+    q, m = named(queries, "q_"), named(index, "m_")
     bits = sum((F.bit_count(F.col(f"q_b{k}").bitwiseXOR(F.col(f"m_b{k}"))) for k in range(4)), F.lit(0))
-    j = q.join(m, ["t", "v"]).where(bits <= MOST_BITS)
-    # the first table in which both agree speaks for the pair
-    first = F.when(F.col("q_b0") == F.col("m_b0"), 0).when(F.col("q_b1") == F.col("m_b1"), 1).when(F.col("q_b2") == F.col("m_b2"), 2).otherwise(3)
-    j = j.where(F.col("t") == first)
+    met = stored(keyed(q, "q_").join(keyed(m, "m_"), ["t", "v"]).where(bits <= NEAR_BITS).select("q_image_id", "m_image_id").distinct(), "image-candidates")
+    alike = reduce(or_, (F.col(f"q_b{k}") == F.col(f"m_b{k}") for k in range(4)))
+    j = met.join(q, "q_image_id").join(m, "m_image_id").where(alike & (bits <= MOST_BITS))
     turn = F.col("q_turn") - F.col("m_turn")
     octave = F.col("m_octave") - F.col("q_octave")
     a, s = F.radians(turn), F.pow(F.lit(2.0), octave)
