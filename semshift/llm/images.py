@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
+pa.set_memory_pool(pa.system_memory_pool())  # workers give memory back between stages
+
+#: Images that are drawn or described at once.
+STACK = 64
 #: Scales; corners kept at each; patch radius; binary tests; turns that tests are prepared for.
 SCALES, CORNERS, RADIUS, TESTS, TURNS = (1.0, 0.7), 16, 9, 96, 36
 #: Differing bits of corners that make two images candidates (fewer than the tables, so none is missed), and of corners that vote;
@@ -135,8 +139,8 @@ def descriptors(images: DataFrame, image_id: str = "image_id", image: str = "ima
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, STACK):
+                b = whole.slice(at, STACK)
                 ids, pixels = b.column(0).to_pylist(), [decode_pnm(r) for r in b.column(1).to_pylist()]
                 shapes: dict[tuple, list[int]] = {}
                 for i, p in enumerate(pixels):
@@ -213,8 +217,8 @@ def drawn(vectors: DataFrame, edited: bool, vec_id: str = "vec_id", embedding: s
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, STACK):
+                b = whole.slice(at, STACK)
                 ids, vs = b.column(0).to_pylist(), b.column(1).to_pylist()
                 out: list[bytes | None] = [None] * len(ids)
                 by: dict[int, list[int]] = {}
