@@ -249,6 +249,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
                 off = np.cumsum([0] + [len(a) for a in ids])
                 lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(off), pa.int64()), lists, pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_tokens", "ids", "ids_crc32", "round_trip"])
+        m.cache.clear()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")

@@ -1,4 +1,4 @@
-"""A bounded memory of encoded chunks of text that a Python worker keeps from batch to batch."""
+"""A bounded memory of encoded chunks of text that a Python worker keeps from batch to batch of one task."""
 
 from __future__ import annotations
 
@@ -13,6 +13,10 @@ class ChunkCache:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def clear(self) -> None:
+        """Gives the memory back: workers live on through other stages, which need it."""
+        self.young, self.old = {}, {}
+
     def look_up(self, lists: list[list[bytes]]) -> list[list[bytes]]:
         """The ids of every chunk of the lists."""
         if len(self.young) > self.size:
