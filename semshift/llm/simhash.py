@@ -232,9 +232,11 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
     met = stored(met.join(na, "a").join(nb, "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= FAR), "wide-meetings")
     sure = met.where(F.col("bits") <= SURE)
     known = stored(components(sure), "sure-groups")
-    ca, cb = (known.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
-    open_ = met.where(F.col("bits") > SURE).join(ca, "a", "left").join(cb, "b", "left")
-    open_ = stored(open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "open-pairs")
+    group = nodes.select("rep").join(known, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("group"))
+    group = stored(group, "sure-groups-of-all")
+    ga, gb = group.select(F.col("rep").alias("a"), F.col("group").alias("ga")), group.select(F.col("rep").alias("rb"), F.col("group").alias("gb"))
+    open_ = met.where(F.col("bits") > SURE).join(ga, "a").join(gb, (F.col("b") == F.col("rb")) & (F.col("ga") != F.col("gb")))
+    open_ = stored(open_.select("a", "b"), "open-pairs")
     need = open_.select(F.col("a").alias("doc_id")).unionByName(open_.select(F.col("b").alias("doc_id"))).distinct()
     shingles = stored(rows.dropDuplicates(["doc_id"]).join(need, "doc_id").select("doc_id", "t").mapInArrow(sets, "rep long, s binary"), "shingle-sets")
     both = open_.join(shingles.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(shingles.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
