@@ -1,28 +1,29 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-Two ways to candidates, both from codeword indices of 23-bit fingerprint segments:
+Two ways to candidates, of which `linked` takes codeword indices of 23-bit fingerprint segments:
 
 * `linked` finds all pairs of 64-bit fingerprints within 2 bits. Of three segments (23, 23, 18 bits) one is free of
   errors (pigeonhole); the next one has at most two, so the lists of its near codewords share an index. Key: the exact
   segment with each near index of the next. A crowded key is made longer by the near indices of the third segment, which
   loses no pair either.
-* `near_copies` is for wide fingerprints and similarities: many keys, each of the nearest codewords of two segments
-  drawn from the fingerprint's bits, then a Hamming filter and exact Jaccard similarity of the word shingles.
+* `near_copies` is for similarities of shingle sets, which fingerprints would only guess at: all pairs of sets that share one
+  of their first shingles, then exact Jaccard similarity.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import golay
 from .common import stored, table
 from .graph import components
-from .wordgrid import gathered, mixed
 
 #: Fingerprints under one key from which the key is made longer.
 CROWDED = 64
@@ -41,22 +42,19 @@ def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(s, seed) for s in rows), np.uint64, len(w) - words + 1)
 
 
-def _set_bits(h: np.ndarray, wide: int = 1) -> np.ndarray:
-    """How many of the hashes have each of 64 x wide bits; further words are remixes of the hash."""
-    words = np.empty((len(h), wide), "<u8")
-    for k in range(wide):
-        words[:, k] = mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1), 0xD6E8FEB86659FD93) if k else h
-    total = np.zeros(64 * wide, np.int64)
+def _set_bits(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of 64 bits."""
+    total = np.zeros(64, np.int64)
     for i in range(0, len(h), 240):  # sums that fit a byte
-        total += np.unpackbits(words[i : i + 240].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+        total += np.unpackbits(h[i : i + 240].astype("<u8")[:, None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
     return total
 
 
-def majority(h: np.ndarray, wide: int = 1) -> np.ndarray:
-    """The bits that over half of the hashes have set, as unsigned 64-bit words."""
+def majority(h: np.ndarray) -> np.ndarray:
+    """The bits that over half of the hashes have set, as one unsigned 64-bit word."""
     if not len(h):
-        return np.zeros(wide, "<u8")
-    return np.packbits(_set_bits(h, wide) * 2 > len(h), bitorder="little").view("<u8")
+        return np.zeros(1, "<u8")
+    return np.packbits(_set_bits(h) * 2 > len(h), bitorder="little").view("<u8")
 
 
 def _text(docs: DataFrame, text: str) -> F.Column:
@@ -135,79 +133,55 @@ def near_groups(docs: DataFrame, words: int = 3, text: str = "text", doc_id: str
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Words of a wide fingerprint; keys of a fingerprint; differing bits from which a pair is looked at, and up to which it is taken unseen.
-WIDE, TABLES, FAR, SURE = 4, 128, 54, 20
-_RNG = np.random.default_rng(29)
-_PLACES = np.stack([_RNG.permutation(64 * WIDE)[: 2 * golay.N] for _ in range(TABLES)])
+#: One document in so many gives the common shingles; rows there from which one is common; the most that are remembered.
+SAMPLE, COMMON, REMEMBERED = 16, 8, 1 << 16
+#: Bytes of the bitmap of a set's hashes: elements whose bit the other set lacks aren't shared, which bounds what two sets share.
+BITMAP = 256
 
 
-def _wide_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """TABLES keys of each wide fingerprint: number of the table, nearest codeword indices of two drawn segments."""
-    weights = np.zeros((64 * WIDE, 2 * TABLES), np.float32)
-    for t in range(TABLES):
-        for half in (0, 1):
-            weights[_PLACES[t, half * golay.N : (half + 1) * golay.N], 2 * t + half] = 2.0 ** np.arange(golay.N)
-    for b in parts:
-        for at in range(0, b.num_rows, 4096):
-            p = b.slice(at, 4096)
-            words = np.stack([p.column(1 + k).to_numpy() for k in range(WIDE)], 1).astype("<i8")
-            bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").astype(np.float32)
-            code = golay.nearest((bits @ weights).astype(np.int64))
-            key = (np.arange(TABLES) << 24) | (code[:, 0::2] << 12) | code[:, 1::2]
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(p.column(0).to_numpy(), TABLES))], ["key", "rep"])
+def _ordered(h: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A set's shingles in the order that all sets share: those not known as common by hash, then the common ones, rarer first."""
+    if not len(common):
+        return h
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    return h[np.lexsort((h, np.where(common[at] == h, rank[at], -1)))]
 
 
-#: Neighbours under one key (in order of id) that are paired, besides each with the first.
-LAGS = 6
+def _likely(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
+    """Those pairs whose bitmaps leave a similarity of `least` possible; none that has it goes."""
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            if not b.num_rows:
+                continue
+            n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 4))
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (3, 5))
+            most = np.minimum(n - np.bitwise_count(x & ~y).sum(1), m - np.bitwise_count(y & ~x).sum(1))
+            yield b.select([0, 1]).filter(pa.array(most * (1 + least) >= least * (n + m) - 1e-6))
 
-def _meetings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows sorted by (key, rep) that share a key: each with the first of its key and with the LAGS before it.
+    def end(e: str) -> DataFrame:
+        return marked.select(F.col("row").alias(e), F.col("n").alias("n" + e), F.col("bits").alias("bits" + e))
 
-    Up to LAGS + 1 under a key that is all pairs. Under a more crowded one all are near the same codewords, mostly copies
-    of one text; the first and the neighbours link them, and each has TABLES keys to be linked by.
-    """
-    tail = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for b in gathered(parts):
-        k, r = np.r_[tail[0], b.column(0).to_numpy()], np.r_[tail[1], b.column(1).to_numpy()]
-        old = len(tail[0])
-        new = np.r_[True, k[1:] != k[:-1]]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-        i = np.arange(old, len(k))
-        pairs = [np.stack([r[first[i]], r[i]], 1)]
-        for lag in range(1, LAGS + 1):
-            j = i[i - lag >= 0]
-            j = j[k[j - lag] == k[j]]
-            pairs.append(np.stack([r[j - lag], r[j]], 1))
-        p = np.concatenate(pairs)
-        p = np.sort(p[p[:, 0] != p[:, 1]], axis=1)
-        if len(k):
-            at = len(k) - 1
-            keep = np.unique(np.r_[first[at], np.arange(max(first[at], len(k) - LAGS), len(k))])
-            tail = (k[keep], r[keep])
-        if len(p):
-            p = p[np.lexsort((p[:, 1], p[:, 0]))]
-            p = p[np.r_[True, (p[1:] != p[:-1]).any(1)]]
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, component_id for every row with a doc_id: groups linked by Jaccard similarity `least` or more of word shingle sets.
-
-    Wide fingerprints (256 bits) of shingle sets meet on Golay keys. Pairs within SURE bits are links; pairs within FAR bits
-    whose ends aren't linked yet are compared by their whole shingle sets. Texts without words are copies of each other.
-    Recall of the keys for a single pair: 0.85 at similarity 0.8, 0.97 at 0.85, over 0.99 from 0.9 on.
-    """
+    j = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
+    return stored(j.mapInArrow(run, "a long, b long"), "near-likely")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            f = np.stack([majority(np.unique(shingle_hashes(t.as_py(), words)), WIDE) for t in b.column(1)]).view("<i8") if b.num_rows else np.zeros((0, WIDE), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(WIDE))], ["doc_id", *names])
+
+def _sets(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """row, s: the whole shingle sets of the pairs' rows."""
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             s = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["rep", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["row", "s"])
+
+    need = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    need = stored(need, "near-need")
+    few = need.count() <= 1 << 18  # then the texts stay where they are
+    return stored(rows.select("row", "t").join(F.broadcast(need) if few else need, "row").mapInArrow(sets, "row long, s binary"), "shingle-sets")
+
+
+def _alike(pairs: DataFrame, s: DataFrame, least: float) -> DataFrame:
+    """Those pairs a, b of row numbers whose shingle sets have Jaccard similarity `least` or more."""
 
     def same(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -220,30 +194,92 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
             if p.num_rows:
                 yield p
 
-    names = [f"f{k}" for k in range(WIDE)]
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), _text(docs, text).alias("t"))
-    fps = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "wide-fingerprints")
-    nodes = stored(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")).select("rep", *names), "wide-nodes")
-    keys = nodes.mapInArrow(_wide_keys, "key long, rep long")
-    met = keys.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_meetings, "a long, b long").distinct()
-    na = nodes.select(F.col("rep").alias("a"), *[F.col(n).alias("a" + n) for n in names])
-    nb = nodes.select(F.col("rep").alias("b"), *[F.col(n).alias("b" + n) for n in names])
-    bits = sum((F.bit_count(F.col("a" + n).bitwiseXOR(F.col("b" + n))) for n in names), F.lit(0))
-    met = stored(met.join(na, "a").join(nb, "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= FAR), "wide-meetings")
-    sure = met.where(F.col("bits") <= SURE)
-    known = stored(components(sure), "sure-groups")
-    group = nodes.select("rep").join(known, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("group"))
-    group = stored(group, "sure-groups-of-all")
-    ga, gb = group.select(F.col("rep").alias("a"), F.col("group").alias("ga")), group.select(F.col("rep").alias("rb"), F.col("group").alias("gb"))
-    open_ = met.where(F.col("bits") > SURE).join(ga, "a").join(gb, (F.col("b") == F.col("rb")) & (F.col("ga") != F.col("gb")))
-    open_ = stored(open_.select("a", "b"), "open-pairs")
-    need = open_.select(F.col("a").alias("doc_id")).unionByName(open_.select(F.col("b").alias("doc_id"))).distinct()
-    shingles = stored(rows.dropDuplicates(["doc_id"]).join(need, "doc_id").select("doc_id", "t").mapInArrow(sets, "rep long, s binary"), "shingle-sets")
-    both = open_.join(shingles.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(shingles.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
-    found = both.select("a", "b", "x", "y").mapInArrow(same, "a long, b long")
-    comp = components(sure.select("a", "b").unionByName(found))
-    of = nodes.join(comp, nodes.rep == comp.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of, names).select("doc_id", "component_id")
+    both = pairs.join(s.select(F.col("row").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("row").alias("b"), F.col("s").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(same, "a long, b long"), "near-links")
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends the components don't connect."""
+    ca, cb = comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, component_id, stays and the columns `keep` for every row: groups linked by Jaccard similarity `least` or more of word shingle sets.
+
+    component_id is the group's least doc_id (null if no row has one); `stays` is true for one row of each group, the first
+    with that doc_id. Texts without words are copies of each other. Repeated and null doc_ids are rows of their own.
+
+    No pair is missed: in any order that all sets share, two sets with similarity `least` have one of the first
+    n - ceil(least * n) + 1 shingles in common, so these are the keys, common shingles last. Under each key the first and
+    the last row meet all others; then, wherever a key's rows aren't all connected, every pair of rows not connected yet.
+    """
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _text(docs, text).alias("t"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    rows = stored(picked.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+
+    def every(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], ["h"])
+
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("t").mapInArrow(every, "h long")
+    often = some.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "h").limit(REMEMBERED).collect()
+    common = np.array([r[0] for r in often], np.int64).view(np.uint64)
+    by = np.argsort(common)
+    common, rank = common[by], len(by) - by
+
+    def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            digest, size, first, bits = [], [], [], []
+            for t in b.column(1):
+                h = np.unique(shingle_hashes(t.as_py(), words))
+                digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                size.append(len(h))
+                own = np.zeros(8 * BITMAP, bool)
+                own[h & np.uint64(8 * BITMAP - 1)] = True
+                bits.append(np.packbits(own).tobytes())
+                first.append(_ordered(h, common, rank)[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].view(np.int64))
+            off = np.r_[0, np.cumsum([len(f) for f in first])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists, pa.array(bits, pa.binary())], ["row", "digest", "n", "keys", "bits"])
+
+    marked = stored(rows.select("row", "t").mapInArrow(prefixes, "row long, digest binary, n int, keys array<long>, bits binary"), "near-prefixes")
+    nodes = stored(marked.groupBy("digest").agg(F.min("row").alias("rep")), "near-nodes")
+    keys = marked.join(nodes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.posexplode("keys").alias("at", "key"), "row", "n")
+    own = Window.partitionBy("key")
+    me = F.struct("row", "n", "at")
+    met = stored(keys.select("key", "row", "n", "at", F.min(me).over(own).alias("lo"), F.max(me).over(own).alias("hi")).where("lo.row < hi.row"), "near-keys")
+
+    # what two sets can share from a key on, as it is the first one they share, against what they must share
+    def can(n: str, at: str, m: str, to: str) -> F.Column:
+        return F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) * (1 + least) >= least * (F.col(n) + F.col(m)) - 1e-6
+
+    ends = [met.where((F.col(f"{e}.row") != F.col("row")) & can("n", "at", f"{e}.n", f"{e}.at")).select(F.least("row", f"{e}.row").alias("a"), F.greatest("row", f"{e}.row").alias("b")) for e in ("lo", "hi")]
+    likely = _likely(stored(ends[0].unionByName(ends[1]).distinct(), "near-ends"), marked, least)
+    links = _alike(likely, _sets(likely, rows, words), least)
+    comp = stored(components(links), "near-groups")
+    # a pair still apart has an end outside the group of its key's first row
+    named = met.join(comp.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    named = named.withColumn("main", F.min(F.struct("row", "component")).over(own)["component"])
+    named = stored(named.where((F.col("row") != F.col("lo.row")) & (F.col("row") != F.col("hi.row"))).select("key", "row", "n", "at", "component", "main"), "near-keys-named")
+    x = named.where("component <> main").select("key", F.col("row").alias("r"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("component").alias("c"))
+    other = (F.col("component") != F.col("c")) & can("n", "at", "m", "to") & ((F.col("component") == F.col("main")) | (F.col("row") < F.col("r")))
+    open_ = stored(x.join(named, "key").where(other).select(F.least("row", "r").alias("a"), F.greatest("row", "r").alias("b")).distinct(), "open-pairs")
+    open_ = _likely(open_, marked, least)
+    sets = _sets(open_, rows, words)
+    for lo, hi in ((0, 1), (1, 4), (4, 16)):  # those that a part of the pairs connects need no more comparing
+        share = F.pmod(F.xxhash64("a", "b"), F.lit(16))
+        part = stored(_apart(open_.where((share >= lo) & (share < hi)), comp), "open-part")
+        if part.isEmpty():
+            continue
+        links = links.unionByName(_alike(part, sets, least))
+        comp = stored(components(links), "near-groups")
+
+    of = nodes.join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("group"))
+    grouped = stored(marked.select("row", "digest").join(of, "digest").join(rows.select("row", "doc_id"), "row").select("row", "group", "doc_id"), "near-rows-grouped")
+    first = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("stays"))
+    named = grouped.join(first, "group").select("row", "component_id", (F.col("row") == F.col("stays")).alias("stays"))
+    return rows.join(named, "row").select("doc_id", "component_id", "stays", *[F.col(f"k_{c}").alias(c) for c in keep if c != "doc_id"])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,41 @@ def test_near_copies(spark):
         assert [got[i * 10 + k] for k in range(5)] == [i * 10] * 4 + [i * 10 + 4]
 
 
+def brute_near(docs, words=5, least=0.8):
+    """(group number of each row), by comparing all rows."""
+    sets = []
+    for t in docs:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if group[i] != group[j] and both >= least * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+def test_near_copies_of_a_crowd(spark):
+    """Hundreds of texts of one template, most under 0.8 of each other, whose near copies stand far from them in order of id."""
+    rng = np.random.default_rng(8)
+    texts, n = [], 400
+    for i in range(n):
+        w = [f"v{k}" for k in range(120)]
+        for p in rng.choice(120, 3, replace=False):
+            w[p] = f"e{i}x{p}"
+        texts.append(w)
+    for i in range(n):
+        w = list(texts[i])
+        w[rng.integers(120)] = f"f{i}"
+        texts.append(w)
+    texts = [" ".join(w) for w in texts]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute_near(texts)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > n / 4
+
+
 def brute_repeats(docs, span):
     first = {}
     for d, t in docs:
