@@ -267,6 +267,17 @@ def test_caps(spark):
     assert got[210].component_id == 0 and not got[210].kept
 
 
+@pytest.mark.parametrize("n", [2000, 10**6, 10**7])
+def test_caps_recall_holds_as_tables_grow(n):
+    rng = np.random.default_rng(10)
+    a, b = rng.standard_normal((2, 500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9 * a + 0.19**0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    code = caps.Code(64, n)
+    assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(code.decode(a), code.decode(b), strict=True)]) >= 0.99
+
+
 def test_images(spark):
     rng = np.random.default_rng(6)
     v = rng.standard_normal((60, 64))
