@@ -175,6 +175,20 @@ def brute_near(docs, words=5, least=0.8):
     return group
 
 
+def test_near_copies_from_the_threshold_on(spark):
+    """Pairs of short and long texts at similarities of 0.74 to 0.92, against all pairs."""
+    rng = np.random.default_rng(9)
+    texts = [t for k in range(40) for t in (" ".join(f"s{k}w{i}" for i in range(8)), " ".join(f"s{k}w{i}" for i in range(9)))]
+    for k in range(150):
+        w = [f"l{k}w{i}" for i in range(200)]
+        v = list(w)
+        for p in rng.choice(200, rng.integers(1, 6), replace=False):
+            v[p] = "edited"
+        texts += [" ".join(w), " ".join(v)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_near(texts)
+
+
 def test_near_copies_of_a_crowd(spark):
     """Hundreds of texts of one template, most under 0.8 of each other, whose near copies stand far from them in order of id."""
     rng = np.random.default_rng(8)
