@@ -91,13 +91,13 @@ def copies(hist: DataFrame, dual: DataFrame) -> DataFrame:
     return t.select("source", "size", "n", (F.col("k") + F.signum(F.col("lack")).cast("long") * more).cast("long").alias("k"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken and the columns `keep` for every row.
 
     A null text has size 0 and is never repeated; a null source is a source of its own, the last. Equal rows are told
     apart by nothing, so copies among them are dealt arbitrarily but in sum alike. Empty tables give no rows.
     """
-    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-rows")
+    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"k_{c}") for c in keep]), "mix-rows")
     hist = stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     goal = stored(targets(hist, weights, share), "mix-targets")
     kept = stored(copies(hist, solve(hist, goal)), "mix-copies")
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     r = r.withColumn("copies", (F.floor(F.col("k") / F.col("n")) + (F.row_number().over(lot.orderBy("h", "doc_id")) <= share_).cast("long")).cast("long"))
     g = goal.select(F.col("source").alias("s2"), "source_size", "target")
     out = r.join(g, F.col("source").eqNullSafe(F.col("s2")))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.least(F.col("copies"), F.lit(MOST)).alias("copies"), (F.col("size") * F.least(F.col("copies"), F.lit(MOST))).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.least(F.col("copies"), F.lit(MOST)).alias("copies"), (F.col("size") * F.least(F.col("copies"), F.lit(MOST))).alias("taken"), *[F.col(f"k_{c}").alias(c) for c in keep])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,6 +319,50 @@ def test_pipeline_runs(spark):
     assert out and all(r.round_trip for r in out)
 
 
+@pytest.fixture(scope="module")
+def unkeyed(spark):
+    """Rows with null and repeated doc_ids: copies, near copies and others, some sharing an id with a row that goes."""
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(60))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (5, text(2)), (5, text(3)), (5, text(2)), (3, text(3) + " tail"), (5, text(4)), (None, text(4)), (None, None), (8, ""), (9, text(5)), (9, text(5)), (9, text(6)), (None, text(7))]
+    rows = [(d, t, "en", f"s{i % 2}", len(t or "")) for i, (d, t) in enumerate(rows)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stage_near_copies_with_null_and_repeated_ids(spark, unkeyed):
+    import corpus_pipeline
+
+    rows = unkeyed.collect()
+    groups = {}
+    for r, g in zip(rows, brute_near([r.text for r in rows]), strict=True):
+        groups.setdefault(g, []).append(r)
+    want = Counter(min((r.doc_id is None, r.doc_id or 0) for r in g) for g in groups.values())
+    out = corpus_pipeline.drop_near_copies(spark, unkeyed, SF).collect()
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in out) == want
+    assert len({r.text or "" for r in out}) == len(groups) and not {tuple(r) for r in out} - {tuple(r) for r in rows}
+
+
+def test_stage_mixing_with_null_and_repeated_ids(spark, unkeyed):
+    import corpus_pipeline
+
+    want, copies = Counter(), mixing.mix(unkeyed).collect()
+    for r in copies:
+        want[(r.doc_id, r.source, r.size)] += r.copies
+    out = corpus_pipeline.mix_sources(spark, unkeyed, SF).collect()
+    assert Counter((r.doc_id, r.source, len(words(r.text))) for r in out) == +want
+    assert any(r.doc_id is None for r in out)
+    have = Counter(tuple(r) for r in unkeyed.collect())
+    assert all(n <= 2 * have[t] for t, n in Counter(tuple(r) for r in out).items())
+
+
+def test_stages_keep_rows_with_null_and_repeated_ids(spark, unkeyed):
+    import corpus_pipeline
+
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    have = ids(unkeyed)
+    assert ids(corpus_pipeline.cut_repeats(spark, unkeyed, SF)) == have
+    assert ids(corpus_pipeline.tokenize(spark, unkeyed, SF)) == have
+
+
 def test_op6_digest(spark):
     got = {r.doc_id: r for r in substring.op6_substring(spark, SF).collect()}
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
