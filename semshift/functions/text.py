@@ -65,6 +65,65 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def local_after(text: Column, mark: str) -> Column:
+    """What follows the mark's first place; nothing where it is absent."""
+    return F.when(F.contains(text, F.lit(mark)), F.substr(text, F.instr(text, mark) + len(mark))).otherwise("")
+
+
+#: Parts of evidence labels by rung, weakest first, with the names shown; languages that have a name.
+RUNGS = (("speculative", "Speculative"), ("frequency", "FrequencyCorrelation"), ("change-signal", "ChangeSignalAlignment"), ("lexicographic", "LexicographicNote"), ("scholarly", "ScholarlyAttestation"))
+LANGUAGES = (("en", "English"), ("de", "German"))
+
+
+def evidence_rung(text: Column) -> Column:
+    """Rung 0 to 4 of the first ladder word that the text holds, whatever its case; -1 for none."""
+    t = F.lower(text)
+    return F.coalesce(*[F.when(t.contains(k), F.lit(i)) for i, (k, _) in enumerate(RUNGS)], F.lit(-1))
+
+
+def rung_name(rung: Column) -> Column:
+    return F.coalesce(*[F.when(rung == i, F.lit(n)) for i, (_, n) in enumerate(RUNGS)])
+
+
+def qid(text: Column, anchored: bool = False) -> Column:
+    """The first entity number Q..., or the one that ends the text; null for none."""
+    found = F.regexp_extract(F.trim(text), r"(Q\d+)\s*$" if anchored else r"(Q\d+)", 1)
+    return F.when(found != "", found)
+
+
+def ordinal(n: Column) -> Column:
+    """1st, 2nd, 3rd, 4th, 11th, 21st."""
+    end = F.when((F.pmod(n, F.lit(100)) >= 11) & (F.pmod(n, F.lit(100)) <= 13), "th").when(F.pmod(n, F.lit(10)) == 1, "st").when(F.pmod(n, F.lit(10)) == 2, "nd").when(F.pmod(n, F.lit(10)) == 3, "rd").otherwise("th")
+    return F.concat(n.cast("string"), end)
+
+
+def bucket_label(year: Column) -> Column:
+    """4th c. BC, 1st c., 18th c., 1990s."""
+    b = bucket(year)
+    century = F.when(year < 0, F.concat(ordinal((F.abs(b) / 100).cast("int")), F.lit(" c. BC"))).otherwise(F.concat(ordinal((b / 100).cast("int") + 1), F.lit(" c.")))
+    return F.when(year < 1800, century).otherwise(F.concat(b.cast("string"), F.lit("s")))
+
+
+def read_year(text: Column) -> Column:
+    """A year as text, whatever zeros lead it, for display: 0387 is 387, -0044 is 44 BC; text that isn't a year stays."""
+    y = F.regexp_replace(text, r"^(-?)0+(\d)", "$1$2")
+    number = F.regexp_extract(y, r"^\s*([+-]?\d+)", 1).try_cast("int")
+    return F.when(text.isNull() | (text == ""), "?").when(number.isNull(), text).otherwise(show_year(number))
+
+
+def lang_label(code: Column) -> Column:
+    return F.coalesce(*[F.when(code == c, F.lit(n)) for c, n in LANGUAGES], code, F.lit("?"))
+
+
+def pretty_category(category: Column) -> Column:
+    """Each word's first letter large."""
+    return F.initcap(F.coalesce(F.when(category != "", category), F.lit("uncategorised")))
+
+
+def percent(share: Column) -> Column:
+    return F.concat(F.round(share * 100).cast("int").cast("string"), F.lit("%"))
+
+
 def csv_field(text: Column) -> Column:
     """Quoted if it holds a quote, a comma or a line end; null is empty."""
     t = F.coalesce(text.cast("string"), F.lit(""))

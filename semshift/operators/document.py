@@ -1,75 +1,151 @@
-"""The graph document's parts: merged words, flat events, aggregates, facets, spans; and the views drawn from them."""
+"""The graph document: triggers, events, merged words, flat events with their causes, aggregates, facets; its core and detail halves and their sinks.
+
+Everything is built from re-keyed entity tables and nested last. Rows that tie are told apart by their ids.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUALITIES, SOURCES, bucket, decade, fuzzy_score, gyear, ladder, rank_in, show_year, slug
+from ..functions.text import QUALITIES, SOURCES, decade, rank_in
 from ..sources.lens import Entities
-from .questions import connotations, word_senses
+from .questions import connotations
+
+
+def triggers(e: Entities) -> DataFrame:
+    """id, label, date, category, wikidataSameAs, description, by date (none counts as 0)."""
+    t = e.trigger.select(F.col("trigger_id").alias("id"), "label", "date", "category", F.col("same_as").alias("wikidataSameAs"), "description")
+    return t.orderBy(F.coalesce("date", F.lit(0)), "id")
+
+
+def drift_types(e: Entities) -> DataFrame:
+    return e.drift_type.orderBy(F.coalesce("broaderLabel", F.lit("")), F.coalesce("label", F.lit("")), "id")
+
+
+def drift_events(e: Entities) -> DataFrame:
+    """id, wordId (as stated), senseFromId, senseToId, driftTypeLabel, driftTypeIds, year, yearEnd, confidence, triggerIds."""
+    types = e.event_type.groupBy("event_id").agg(F.array_sort(F.collect_set("type_id")).alias("driftTypeIds"))
+    trigs = e.pair.groupBy("event_id").agg(F.array_sort(F.collect_set("trigger_id")).alias("triggerIds"))
+    j = e.event.join(e.event_label, "event_id", "left").join(types, "event_id", "left").join(trigs, "event_id", "left").join(e.event_sense, "event_id", "left")
+    return j.select(
+        F.col("event_id").alias("id"), F.col("word_id").alias("wordId"), F.col("sense_from").alias("senseFromId"), F.col("sense_to").alias("senseToId"), F.col("type").alias("driftTypeLabel"),
+        F.coalesce("driftTypeIds", F.array().cast(types.schema["driftTypeIds"].dataType)).alias("driftTypeIds"), "year", F.col("year_end").alias("yearEnd"), "confidence",
+        F.coalesce("triggerIds", F.array().cast(trigs.schema["triggerIds"].dataType)).alias("triggerIds"),
+    )
 
 
 def words_merged(e: Entities) -> DataFrame:
-    """Words by (lower form, language): the lowest id stands for all, the best quality brings its source."""
+    """Words by (lower form, language): the lowest id stands for all, the best quality brings its source, sources unite."""
     g = e.word.groupBy(F.lower("form").alias("key"), "lang").agg(
-        F.min("word_id").alias("id"), F.min_by("form", "word_id").alias("form"), F.count(F.lit(1)).alias("merged"), F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"),
+        F.min("word_id").alias("id"), F.min_by("form", "word_id").alias("form"), F.count(F.lit(1)).alias("merged"), F.array_sort(F.collect_set("source")).alias("sources"),
         F.min_by(F.struct("quality", "source"), F.struct(rank_in(F.col("quality"), QUALITIES), "word_id")).alias("best"),
     )
     return g.select("id", "form", "lang", "merged", "sources", F.col("best.quality").alias("quality"), F.col("best.source").alias("source"))
 
 
+def word_dedup(e: Entities) -> DataFrame:
+    return words_merged(e).withColumn("sources", F.array_join("sources", "; "))
+
+
 def canonical(e: Entities) -> DataFrame:
     """raw word_id -> id of the word it is merged into."""
     ids = e.word.select(F.col("word_id").alias("id"), F.lower("form").alias("key"), "lang")
     least = ids.groupBy("key", "lang").agg(F.min("id").alias("canon"))
-    return ids.join(least, (ids.key == least.key) & ids.lang.eqNullSafe(least.lang)).select(F.col("id").alias("word_id"), "canon")
+    return ids.alias("i").join(least.alias("l"), (F.col("i.key") == F.col("l.key")) & F.col("i.lang").eqNullSafe(F.col("l.lang"))).select(F.col("i.id").alias("word_id"), "canon")
+
+
+def words_order(e: Entities) -> DataFrame:
+    """Merged words, English ones first, then by form whatever its case."""
+    w = words_merged(e)
+    return w.orderBy(F.coalesce(F.col("lang") != "en", F.lit(True)), F.lower("form"), "id").select("id", "form", "lang")
+
+
+def _keyed(e: Entities) -> DataFrame:
+    """word_id, canon, form, lang, source, quality: each word with what it is merged into."""
+    w = words_merged(e).select(F.col("id").alias("canon"), "form", "lang", "source", "quality")
+    return canonical(e).join(w, "canon")
+
+
+def causes(e: Entities) -> DataFrame:
+    """event_id, causes: trigger label, year and category, evidence, confidence; most confident first (none counts as 0)."""
+    t = e.trigger.select("trigger_id", "label", "date", "category")
+    j = e.hypothesis.join(t, "trigger_id", "left")
+    c = F.struct(
+        (-F.coalesce("confidence", F.lit(0.0))).alias("ord"), "trigger_id", F.coalesce("label", F.substring_index(F.col("trigger_id").cast("string"), "/", -1)).alias("triggerLabel"),
+        F.col("date").alias("triggerYear"), "category", "evidence", "confidence",
+    )
+    g = j.groupBy("event_id").agg(F.array_sort(F.collect_list(c)).alias("c"))
+    return g.select("event_id", F.transform("c", lambda x: F.struct(*[x[n].alias(n) for n in ("triggerLabel", "triggerYear", "category", "evidence", "confidence")])).alias("causes"))
+
+
+def flat(e: Entities, with_causes: bool = True) -> DataFrame:
+    """event_id, canon, word, lang, type, year, fromConn, toConn, hasTrigger, source, quality and causes: a row for each event of a merged word."""
+    j = e.event.select("event_id", "word_id", "year").join(_keyed(e), "word_id").join(e.event_label, "event_id", "left").join(connotations(e).select("event_id", "from_conn", "to_conn"), "event_id", "left")
+    has = e.pair.select("event_id").distinct().withColumn("has", F.lit(True))
+    j = j.join(has, "event_id", "left")
+    if with_causes:
+        j = j.join(causes(e), "event_id", "left")
+    cols = ["event_id", "canon", F.col("form").alias("word"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("type", F.lit("unknown")).alias("type"), "year", F.col("from_conn").alias("fromConn"), F.col("to_conn").alias("toConn"), F.coalesce("has", F.lit(False)).alias("hasTrigger"), "source", "quality"]
+    return j.select(*cols, *(["causes"] if with_causes else []))
 
 
 def flat_events(e: Entities) -> DataFrame:
-    """One row for each event: word, lang, type, years, connotations, whether it has a trigger."""
-    has = e.hypothesis.select("event_id").distinct().withColumn("hasTrigger", F.lit(True))
-    j = e.event.join(e.word, "word_id").join(connotations(e), "event_id", "left").join(has, "event_id", "left")
-    return j.select("event_id", F.col("form").alias("word"), "lang", "type", "year", F.col("year_end").alias("yearEnd"), F.col("from_conn").alias("fromConn"), F.col("to_conn").alias("toConn"), F.coalesce("hasTrigger", F.lit(False)).alias("hasTrigger"), "source", "quality")
+    """Flat events in order of year (none counts as 0) and word; causes as one text, label and confidence of each."""
+    shown = F.array_join(F.transform("causes", lambda c: F.concat(c["triggerLabel"], F.lit(" "), F.coalesce(c["confidence"].cast("string"), F.lit("?")))), "; ")
+    return flat(e).orderBy(F.coalesce("year", F.lit(0)), "word", "event_id").select("event_id", "word", "lang", "type", "year", "fromConn", "toConn", "hasTrigger", F.coalesce(shown, F.lit("")).alias("causes"), "source", "quality")
+
+
+def _types(column: str | Column) -> Column:
+    """The types of a joined label: split at commas, trimmed, none empty."""
+    return F.filter(F.transform(F.split(column, ","), F.trim), lambda x: x != "")
 
 
 def by_decade_type(e: Entities) -> DataFrame:
-    d = e.event.where("year is not null").select(decade(F.col("year")).alias("decade"), F.explode(F.split("type", ", ")).alias("type"))
+    d = flat(e, with_causes=False).where("year is not null").select(decade(F.col("year")).alias("decade"), F.explode(_types("type")).alias("type"))
     return d.groupBy("decade", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def impact(e: Entities) -> DataFrame:
+    """trigger, label, year, category, wordCount, words: distinct forms of merged words for each trigger; triggers without words count 0."""
+    forms = e.pair.join(e.event.select("event_id", "word_id"), "event_id").join(_keyed(e).select("word_id", "form"), "word_id").select("trigger_id", "form").distinct()
+    g = forms.groupBy("trigger_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("form")).alias("words"))
+    t = e.trigger.join(g, "trigger_id", "left")
+    return t.select(F.col("trigger_id").alias("trigger"), "label", F.col("date").alias("year"), "category", F.coalesce("n", F.lit(0)).cast("long").alias("wordCount"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+
+
 def trigger_impact(e: Entities) -> DataFrame:
-    """Distinct written forms of each trigger; triggers without words count 0."""
-    forms = e.hypothesis.select("event_id", "trigger_id").join(e.event.select("event_id", "word_id"), "event_id").join(e.word.select("word_id", "form"), "word_id").select("trigger_id", "form").distinct()
-    g = forms.groupBy("trigger_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("form")), ", ").alias("words"))
-    return e.trigger.join(g, "trigger_id", "left").select(F.col("trigger_id").alias("trigger"), "label", F.col("date").alias("year"), "category", F.coalesce("n", F.lit(0)).cast("long").alias("wordCount"), F.coalesce("words", F.lit("")).alias("words"))
+    """The impact of triggers, most words first."""
+    return impact(e).orderBy(F.desc("wordCount"), F.coalesce("year", F.lit(0)), "trigger").withColumn("words", F.array_join("words", ", "))
 
 
 def facets(e: Entities) -> DataFrame:
     """facet, value, ord: the distinct values of each facet in its own order."""
-    def one(name, df, col, order=None):
+
+    def one(name: str, df: DataFrame, col: str, order: tuple | None = None) -> DataFrame:
         d = df.select(F.col(col).alias("value")).where("value is not null").distinct()
-        key = rank_in(F.col("value"), order) if order else F.lit(0)
-        return d.select(F.lit(name).alias("facet"), "value", F.row_number().over(Window.orderBy(key, "value")).alias("ord"))  # a handful of values
+        return d.select(F.lit(name).alias("facet"), "value", (rank_in(F.col("value"), order) if order else F.lit(0)).alias("k"))
 
-    parts = [one("language", e.word, "lang"), one("driftType", e.event_type, "type"), one("connotation", e.sense, "connotation"), one("evidenceType", e.evidence, "evidence"), one("source", e.word, "source", SOURCES), one("quality", e.word, "quality", QUALITIES)]
+    w = words_merged(e).select(F.coalesce("lang", F.lit("?")).alias("lang"), "source", "quality")
+    senses = e.sense.join(e.word_sense.select("sense_id").distinct(), "sense_id", "left_semi")
+    types = e.event.select("event_id", "word_id").join(canonical(e), "word_id", "left_semi").join(e.event_label, "event_id", "left").select(F.coalesce("type", F.lit("unknown")).alias("type")).distinct()
+    parts = [one("language", w, "lang"), one("driftType", types.select(F.explode(_types("type")).alias("type")), "type"), one("connotation", senses, "connotation"), one("evidenceType", e.evidence_type, "label"), one("source", w, "source", SOURCES), one("quality", w, "quality", QUALITIES)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.select("facet", "value", F.row_number().over(Window.partitionBy("facet").orderBy("k", "value")).alias("ord"))  # labels of vocabularies
 
 
 def meta_counts(e: Entities) -> DataFrame:
-    """facet, value, n of merged words."""
-    w = words_merged(e)
+    """facet, value, n: merged words by language (none is ?), source and quality; and the totals."""
+    w = words_merged(e).select(F.coalesce("lang", F.lit("?")).alias("lang"), "source", "quality", "merged")
     cols = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(c).alias("value")) for f, c in (("byLanguage", "lang"), ("bySource", "source"), ("byQuality", "quality"))]))
-    return w.select(cols.alias("x")).groupBy("x.facet", "x.value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def word_span(e: Entities) -> DataFrame:
-    """word_id, first and last year over events and senses, whether any event has a trigger."""
-    years = e.event.select("word_id", "year").unionByName(e.event.select("word_id", F.col("year_end").alias("year"))).unionByName(word_senses(e).join(e.sense, "sense_id").select("word_id", F.col("first_attested").alias("year")))
-    return years.where("year is not null").groupBy("word_id").agg(F.min("year").alias("yearStart"), F.max("year").alias("yearEnd"))
+    by = w.select(cols.alias("x")).groupBy("x.facet", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    sums = w.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum(F.col("merged") - 1), F.lit(0)).alias("mergedDuplicates")).select(F.explode(F.create_map(F.lit("words"), "words", F.lit("mergedDuplicates"), "mergedDuplicates")).alias("value", "n"))
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("value"), "n")
+    events = e.event.select("word_id").join(canonical(e), "word_id", "left_semi")
+    totals = sums.unionByName(one(e.word_node, "rawWordNodes")).unionByName(one(events, "driftEvents")).unionByName(one(e.trigger, "triggers"))
+    return by.unionByName(totals.select(F.lit("totals").alias("facet"), "value", "n"))
 
 
 def xling_symmetric(e: Entities) -> DataFrame:
@@ -80,206 +156,117 @@ def xling_symmetric(e: Entities) -> DataFrame:
     return both.where("ca <> cb").select(F.col("ca").alias("word_id"), F.col("cb").alias("other_id")).distinct()
 
 
-def facet_filter(e: Entities, search: str = "w1", langs: tuple = ("en",), sources: tuple = (), qualities: tuple = ("high", "benchmark"), drift_type: str = "", from_conn: str = "", to_conn: str = "", year_from: int | None = None, year_to: int | None = None, has_trigger: bool | None = None) -> DataFrame:
-    """Words that pass every given facet; several values within a facet are alternatives. Types match by substring."""
-    w = e.word.where(F.lower("form").contains(search.lower())) if search else e.word
-    for col, values in (("lang", langs), ("source", sources), ("quality", qualities)):
-        if values:
-            w = w.where(F.col(col).isin(*values))
-    ev = flat_events(e)
-    for c in ([F.col("type").contains(drift_type)] if drift_type else []) + ([F.col("fromConn") == from_conn] if from_conn else []) + ([F.col("toConn") == to_conn] if to_conn else []):
-        w = w.join(ev.where(c).select(F.col("word").alias("form"), "lang").distinct(), ["form", "lang"], "left_semi")
-    if year_from is not None or year_to is not None:
-        lo, hi = year_from if year_from is not None else -(10**6), year_to if year_to is not None else 10**6
-        dated = ev.where("year is not null").groupBy(F.col("word").alias("form"), "lang").agg(F.max((F.col("year") <= hi) & (F.coalesce("yearEnd", "year") >= lo)).alias("hit"))
-        w = w.join(dated, ["form", "lang"], "left").where(F.coalesce("hit", F.lit(True))).drop("hit")
-    if has_trigger is not None:
-        w = w.join(ev.where("hasTrigger").select(F.col("word").alias("form"), "lang").distinct(), ["form", "lang"], "left_semi" if has_trigger else "left_anti")
-    return w.select("word_id", "form", "lang", "source", "quality")
+def freq_series(e: Entities) -> DataFrame:
+    """id, year, value of merged words: where several of its words have a year, that of the lowest id; a word's own repeated years stay."""
+    f = e.frequency.where("year is not null and value is not null").join(canonical(e), "word_id")
+    first = f.groupBy("canon", "year").agg(F.min("word_id").alias("word_id"))
+    return f.join(first, ["canon", "year", "word_id"]).select(F.col("canon").alias("id"), "year", "value")
 
 
-def fuzzy_search(e: Entities, query: str = "w12", limit: int = 10) -> DataFrame:
-    """The best labels for a query, among words and triggers."""
-    index = e.word.select(F.lit("word").alias("kind"), F.col("form").alias("label")).unionByName(e.trigger.select(F.lit("trigger").alias("kind"), "label")).distinct()
-    s = index.withColumn("score", fuzzy_score(query, F.col("label"))).where("score > -1")
-    return s.orderBy(F.desc("score"), "label", "kind").limit(limit)
-
-
-def top_cause(e: Entities) -> DataFrame:
-    """The trigger with the highest confidence for each word; ties go to the lowest id."""
-    h = e.hypothesis.join(e.event.select("event_id", "word_id"), "event_id")
-    g = h.groupBy("word_id").agg(F.min_by(F.struct("trigger_id", "confidence"), F.struct(-F.col("confidence"), "trigger_id")).alias("b"))
-    return g.select("word_id", F.col("b.trigger_id").alias("trigger_id"), F.col("b.confidence").alias("confidence"))
-
-
-def cause_rank(e: Entities) -> DataFrame:
-    g = e.hypothesis.groupBy("trigger_id").agg(F.count(F.lit(1)).alias("n"))
-    return g.join(e.trigger.select("trigger_id", "label"), "trigger_id").select("label", "n")
-
-
-def decade_stack(e: Entities) -> DataFrame:
-    """Decade and type counts, with empty cells, and running totals over types."""
-    d = by_decade_type(e)
-    grid = d.select("decade").distinct().crossJoin(F.broadcast(d.select("type").distinct()))  # decades x types: a few hundred cells
-    w = Window.partitionBy("decade").orderBy("type").rowsBetween(Window.unboundedPreceding, 0)
-    g = grid.join(d, ["decade", "type"], "left").select("decade", "type", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return g.withColumn("top", F.sum("n").over(w))
-
-
-def trend_buckets(e: Entities) -> DataFrame:
-    """Events by bucket, type and resulting connotation (none counts as neutral)."""
-    f = flat_events(e).where("year is not null").select(bucket(F.col("year")).alias("bucket"), "type", F.coalesce("toConn", F.lit("neutral")).alias("toConn"))
-    return f.groupBy("bucket", "type", "toConn").agg(F.count(F.lit(1)).alias("n"))
-
-
-def trend_share(e: Entities) -> DataFrame:
-    g = trend_buckets(e).groupBy("bucket", "type").agg(F.sum("n").alias("n"))
-    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("bucket")), 6))
-
-
-def lexical_loss(e: Entities) -> DataFrame:
-    """Poisoned (to negative) and reclaimed (from negative) events by decade, and the net."""
-    f = flat_events(e).where("fromConn is not null and toConn is not null")
-    p = (F.col("fromConn") != "negative") & (F.col("toConn") == "negative")
-    r = (F.col("fromConn") == "negative") & (F.col("toConn") != "negative")
-    g = f.groupBy(decade(F.col("year")).alias("decade")).agg(F.sum(p.cast("long")).alias("poisoned"), F.sum(r.cast("long")).alias("reclaimed"))
-    return g.withColumn("net", F.col("poisoned") - F.col("reclaimed"))
-
-
-def xling_pairs(e: Entities) -> DataFrame:
-    """English and German partners with their first common trigger, if any."""
-    t = e.hypothesis.join(e.event.select("event_id", "word_id"), "event_id").select("word_id", "trigger_id").distinct()
-    w = e.word.select("word_id", "form", "lang")
-    x = e.xling.join(w.select(F.col("word_id").alias("a"), F.col("form").alias("fa"), F.col("lang").alias("la")), "a").join(w.select(F.col("word_id").alias("b"), F.col("form").alias("fb")), "b")
-    en = F.col("la") == "en"
-    x = x.select("a", "b", F.when(en, F.col("fa")).otherwise(F.col("fb")).alias("en"), F.when(en, F.col("fb")).otherwise(F.col("fa")).alias("de"))
-    common = x.join(t.select(F.col("word_id").alias("a"), "trigger_id"), "a").join(t.select(F.col("word_id").alias("b"), "trigger_id"), ["b", "trigger_id"]).groupBy("a", "b").agg(F.min("trigger_id").alias("shared"))
-    return x.join(common, ["a", "b"], "left").select("en", "de", "shared")
-
-
-def trigger_summary(e: Entities) -> DataFrame:
-    """Mean, least and most confidence of each trigger, and hypotheses by their best rung."""
-    best = e.evidence.groupBy("event_id", "trigger_id").agg(F.max(ladder(F.col("evidence"))).alias("rung"))
-    h = e.hypothesis.join(best, ["event_id", "trigger_id"])
-    return h.groupBy("trigger_id").agg(F.round(F.avg("confidence"), 6).alias("meanConf"), F.min("confidence").alias("minConf"), F.max("confidence").alias("maxConf"), F.sum((F.col("rung") == 5).cast("long")).alias("scholarly"), F.sum((F.col("rung") <= 1).cast("long")).alias("weak"))
-
-
-def trigger_reach(e: Entities) -> DataFrame:
-    j = e.hypothesis.select("event_id", "trigger_id").join(e.event.select("event_id", "word_id"), "event_id").join(e.word.select("word_id", "lang"), "word_id")
-    return j.groupBy("trigger_id").agg(F.countDistinct("word_id").alias("words"), F.countDistinct("lang").alias("languages"))
-
-
-def trigger_cooccur(e: Entities) -> DataFrame:
-    """Pairs of triggers of one category and decade, by rank of impact."""
-    t = e.trigger.where("category is not null").select("trigger_id", "category", decade(F.col("date")).alias("decade"))
-    a, b = t.select(F.col("trigger_id").alias("a"), "category", "decade"), t.select(F.col("trigger_id").alias("b"), "category", "decade")
-    return a.join(b, ["category", "decade"]).where("a < b").select("a", "b", "category", "decade")
-
-
-def bipartite_edges(e: Entities, top: int = 40) -> DataFrame:
-    """Word-trigger links of the triggers with most words."""
-    best = trigger_impact(e).where("wordCount > 0").orderBy(F.desc("wordCount"), F.col("year").asc_nulls_last(), "trigger").limit(top).select(F.col("trigger").alias("trigger_id"))
-    j = e.hypothesis.select("event_id", "trigger_id").join(best, "trigger_id", "left_semi").join(e.event.select("event_id", "word_id"), "event_id").join(e.word.select("word_id", "form"), "word_id")
-    return j.select("trigger_id", "form").distinct()
+def words_light(e: Entities) -> DataFrame:
+    """id, writtenForm, language, source, quality, sources, driftTypeLabels, yearStart, yearEnd, hasTrigger: what the first view of a word needs.
 
+    The years are those of its senses, events and frequencies. Events, senses and frequencies are reduced before they meet.
+    """
+    c = canonical(e)
+    has = e.pair.select("event_id").distinct().withColumn("has", F.lit(True))
+    ev = e.event.select("event_id", "word_id", "year", "year_end").join(c, "word_id").join(e.event_label, "event_id", "left").join(has, "event_id", "left")
+    ev = ev.groupBy(F.col("canon").alias("id")).agg(F.min(F.least("year", "year_end")).alias("e0"), F.max(F.greatest("year", "year_end")).alias("e1"), F.coalesce(F.bool_or("has"), F.lit(False)).alias("has"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(_types("type"))))).alias("types"))
+    s = e.word_sense.join(c, "word_id").join(e.sense.select("sense_id", F.least("first_attested", "att_begin", "att_end").alias("y0"), F.greatest("first_attested", "att_begin", "att_end").alias("y1")), "sense_id")
+    s = s.groupBy(F.col("canon").alias("id")).agg(F.min("y0").alias("s0"), F.max("y1").alias("s1"))
+    f = e.frequency.join(c, "word_id").groupBy(F.col("canon").alias("id")).agg(F.min("year").alias("f0"), F.max("year").alias("f1"))
+    j = words_merged(e).join(ev, "id", "left").join(s, "id", "left").join(f, "id", "left")
+    return j.select(
+        "id", F.col("form").alias("writtenForm"), F.col("lang").alias("language"), "source", "quality", "sources", F.coalesce("types", F.array().cast("array<string>")).alias("driftTypeLabels"),
+        F.least("e0", "s0", "f0").alias("yearStart"), F.greatest("e1", "s1", "f1").alias("yearEnd"), F.coalesce("has", F.lit(False)).alias("hasTrigger"),
+    )
 
-def bipartite_degree(e: Entities) -> DataFrame:
-    b = bipartite_edges(e)
-    return b.groupBy(F.col("trigger_id").cast("string").alias("node")).agg(F.count(F.lit(1)).alias("degree")).unionByName(b.groupBy(F.col("form").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
 
+def word_span(e: Entities) -> DataFrame:
+    return words_light(e).select("id", "writtenForm", "language", "source", "quality", F.array_join("driftTypeLabels", "; ").alias("driftTypeLabels"), "yearStart", "yearEnd", "hasTrigger")
 
-def category_freq(e: Entities) -> DataFrame:
-    return e.trigger.groupBy(F.coalesce(F.lower(F.trim("category")), F.lit("uncategorised")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
+def detail(e: Entities) -> DataFrame:
+    """id, senses, driftEvents, frequencyObservations, sources, crossLingualOf of each merged word, in order of year (none counts as 0)."""
+    c = canonical(e)
+    key = lambda year, i: (F.coalesce(year, F.lit(0)).alias("ord"), F.col(i).alias("tie"))
+    bare = lambda col, names: F.transform(col, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    s_names = ["id", "glossEn", "connotation", "connotationId", "firstAttested", "attestedIntervalStart", "attestedIntervalEnd"]
+    s = e.word_sense.join(c, "word_id").select("canon", "sense_id").distinct().join(e.sense, "sense_id", "left")
+    s = s.select("canon", F.struct(*key("first_attested", "sense_id"), F.col("sense_id").alias("id"), F.col("gloss").alias("glossEn"), "connotation", F.col("connotation_id").alias("connotationId"), F.col("first_attested").alias("firstAttested"), F.col("att_begin").alias("attestedIntervalStart"), F.col("att_end").alias("attestedIntervalEnd")).alias("x"))
+    s = s.groupBy(F.col("canon").alias("id")).agg(bare(F.array_sort(F.collect_list("x")), s_names).alias("senses"))
+    d = drift_events(e)
+    ev = d.join(c, d.wordId == c.word_id).select("canon", F.struct(*key("year", "id"), *d.columns).alias("x"))
+    ev = ev.groupBy(F.col("canon").alias("id")).agg(bare(F.array_sort(F.collect_list("x")), d.columns).alias("driftEvents"))
+    f = freq_series(e).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("year", "value"))).alias("frequencyObservations"))
+    x = xling_symmetric(e).groupBy(F.col("word_id").alias("id")).agg(F.array_sort(F.collect_set("other_id")).alias("crossLingualOf"))
+    j = words_merged(e).select("id", "sources").join(s, "id", "left").join(ev, "id", "left").join(f, "id", "left").join(x, "id", "left")
+    some = lambda n: F.coalesce(n, F.array().cast(j.schema[n].dataType)).alias(n)
+    return j.select("id", *[some(n) for n in ("senses", "driftEvents", "frequencyObservations", "sources", "crossLingualOf")])
 
-def connotation_arc(e: Entities) -> DataFrame:
-    """Connotations of the earliest and the latest sense of each word."""
-    s = word_senses(e).join(e.sense, "sense_id")
-    k = F.struct("first_attested", "sense_id")
-    return s.groupBy("word_id").agg(F.min_by("connotation", k).alias("earliest"), F.max_by("connotation", k).alias("latest"))
 
+def core_words(e: Entities) -> DataFrame:
+    return words_light(e).join(detail(e).select("id", "crossLingualOf"), "id")
 
-def geo_points(e: Entities) -> DataFrame:
-    """Places with finite coordinates."""
-    return e.geo.where("abs(lat) < double('infinity') and abs(lon) < double('infinity') and not isnan(lat) and not isnan(lon)")
 
+def full_words(e: Entities) -> DataFrame:
+    """Core words with all their detail."""
+    return words_light(e).join(detail(e).drop("sources"), "id")
 
-def geo_impact(e: Entities) -> DataFrame:
-    return geo_points(e).join(trigger_impact(e).select(F.col("trigger").alias("trigger_id"), "wordCount"), "trigger_id")
 
+def flat_document(e: Entities) -> DataFrame:
+    return flat(e).orderBy(F.coalesce("year", F.lit(0)), "word", "event_id").select("word", "lang", "type", "year", "fromConn", "toConn", "hasTrigger", "causes", "source", "quality")
 
-def trigger_hypotheses(e: Entities, trigger: int | str = 3) -> DataFrame:
-    """Words and confidences of one trigger, unknown confidence last."""
-    h = e.hypothesis.where(F.col("trigger_id") == trigger).join(e.event.select("event_id", "word_id", "year"), "event_id").join(e.word.select("word_id", "form", "lang"), "word_id")
-    first = h.withColumn("r", F.row_number().over(Window.partitionBy("form", "lang").orderBy(F.coalesce("confidence", F.lit(-1.0)).desc(), "event_id"))).where("r = 1")
-    return first.select("form", "lang", "event_id", "confidence")
 
+def _common(e: Entities) -> dict[str, DataFrame]:
+    return {"meta": meta_counts(e), "driftTypes": drift_types(e), "facets": facets(e), "byDecadeType": by_decade_type(e).orderBy("decade", "type"), "triggerImpact": impact(e).orderBy(F.desc("wordCount"), F.coalesce("year", F.lit(0)), "trigger"), "triggers": triggers(e), "driftEventsFlat": flat_document(e)}
 
-def csv_words(e: Entities) -> DataFrame:
-    return words_merged(e).select(F.concat_ws(",", F.col("id").cast("string"), "form", "lang", F.concat(F.lit('"'), "sources", F.lit('"')), "quality").alias("line"))
 
+def documents(e: Entities) -> dict[str, dict[str, DataFrame]]:
+    """The parts of the core, detail and full document. Words are in their order; detail is keyed by word id."""
+    order = [F.coalesce(F.col("language") != "en", F.lit(True)), F.lower("writtenForm"), "id"]
+    common = _common(e)
+    return {"core": common | {"words": core_words(e).orderBy(*order)}, "detail": {"words": detail(e).drop("crossLingualOf")}, "full": common | {"words": full_words(e).orderBy(*order)}}
 
-def claims_ledger(e: Entities) -> DataFrame:
-    best = e.evidence.groupBy("event_id", "trigger_id").agg(F.array_join(F.array_sort(F.collect_set("evidence")), "; ").alias("evidence"))
-    j = e.hypothesis.join(best, ["event_id", "trigger_id"]).join(e.event.select("event_id", "word_id", "type", "year"), "event_id").join(e.word.select("word_id", "form", "lang"), "word_id").join(e.trigger.select("trigger_id", "label"), "trigger_id")
-    return j.select("event_id", "form", "lang", "type", "year", "label", "confidence", "evidence")
 
+def write_documents(e: Entities, path: str) -> None:
+    """core, detail and full as folders of JSON lines, one for each part, written where the data are."""
+    for name, parts in documents(e).items():
+        for part, df in parts.items():
+            df.write.json(f"{path}/{name}/{part}", ignoreNullFields=False)
 
-def year_formats(e: Entities) -> DataFrame:
-    y = e.trigger.select("trigger_id", (F.col("date") - 1950).alias("y"))
-    return y.select("trigger_id", show_year(F.col("y")).alias("shown"), gyear(F.col("y")).alias("gyear"), slug(F.concat(F.lit("  Year of: "), F.col("y").cast("string"), F.lit("!"))).alias("slug"))
 
+def single_document(e: Entities, which: str = "core") -> dict:
+    """The core, detail or full document as one object on the driver, for graphs that a browser can load anyway."""
+    parts = {k: [r.asDict(recursive=True) for r in df.collect()] for k, df in documents(e)[which].items()}
+    if which == "detail":
+        return {r.pop("id"): r for r in parts["words"]}
+    meta: dict = {}
+    for r in parts["meta"]:
+        if r["facet"] == "totals":
+            meta[r["value"]] = r["n"]
+        else:
+            meta.setdefault(r["facet"], {})[r["value"]] = r["n"]
+    kinds: dict[str, list] = {n: [] for n in ("language", "driftType", "connotation", "evidenceType", "source", "quality")}
+    for r in sorted(parts["facets"], key=lambda r: r["ord"]):
+        kinds[r["facet"]].append(r["value"])
+    return parts | {"meta": meta, "facets": kinds}
 
-def shape_report(e: Entities) -> DataFrame:
-    """shape, constraint, n: violations of each constraint."""
-    one = lambda df, shape, rule: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(shape).alias("shape"), F.lit(rule).alias("constraint"), "n")
-    spec = e.evidence.groupBy("event_id", "trigger_id").agg(F.min((F.col("evidence") == "Speculative").cast("int")).alias("only")).where("only = 1")
-    parts = [
-        one(e.trigger.where("category is null"), "Trigger", "minCount category"),
-        one(e.event.join(e.word, "word_id", "left_anti"), "DriftEvent", "class affectsWord"),
-        one(e.event.where("year < 1996 or year > 2100"), "DriftEvent", "range driftYear"),
-        one(e.event.where("drift_year is null and year_end is null"), "DriftEvent", "or year interval"),
-        one(e.hypothesis.where("confidence < 0 or confidence > 1"), "CausalHypothesis", "range confidence"),
-        one(e.hypothesis.groupBy("event_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "CausalHypothesis", "maxCount aboutDrift"),
-        one(e.hypothesis.join(spec, ["event_id", "trigger_id"]).where("confidence >= 0.66"), "CausalHypothesis", "sparql speculative"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
+_FLAT = "flat AS (SELECT e.event_id, c.canon, m.form AS word, m.lang, type, year, year_end, f.connotation AS fc, t.connotation AS tc, h.event_id IS NOT NULL AS has, m.source, m.quality FROM event e JOIN canon c ON c.word_id = e.word_id JOIN merged m ON m.id = c.canon LEFT JOIN es ON es.event_id = e.event_id LEFT JOIN sense f ON f.sense_id = sense_from LEFT JOIN sense t ON t.sense_id = sense_to LEFT JOIN (SELECT DISTINCT event_id FROM hyp) h ON h.event_id = e.event_id)"
+_LIGHT = "light AS (SELECT id, form, lang, source, quality, y0, y1, has, types FROM merged LEFT JOIN (SELECT canon AS id, min(y) AS y0, max(y) AS y1 FROM (SELECT word_id, year AS y FROM event UNION ALL SELECT word_id, year_end FROM event UNION ALL SELECT word_id, year FROM freq UNION ALL SELECT word_id, first_attested FROM (SELECT DISTINCT word_id, unnest([sense_from, sense_to]) AS sense_id FROM es JOIN event USING (event_id)) JOIN sense USING (sense_id)) JOIN canon USING (word_id) GROUP BY canon) USING (id) LEFT JOIN (SELECT canon AS id, bool_or(has) AS has, string_agg(DISTINCT type, '; ' ORDER BY type) AS types FROM flat GROUP BY canon) USING (id))"
+_IMPACT = "impact AS (SELECT t.trigger_id AS trigger, label, date AS year, category, count(DISTINCT m.form) AS n, coalesce(string_agg(DISTINCT m.form, ', ' ORDER BY m.form), '') AS words FROM trig t LEFT JOIN (hyp JOIN event USING (event_id) JOIN canon USING (word_id) JOIN merged m ON m.id = canon) ON hyp.trigger_id = t.trigger_id GROUP BY ALL)"
+_XLING = "twoway AS (SELECT x.canon AS a, y.canon AS b FROM xling JOIN canon x ON x.word_id = a JOIN canon y ON y.word_id = b), sym AS (SELECT a AS word_id, b AS other_id FROM twoway WHERE a <> b UNION SELECT b, a FROM twoway WHERE a <> b)"
 
 SQL = {
-    "word_dedup": "SELECT min(word_id) AS id, arg_min(form, word_id) AS form, lang, count(*) AS merged, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources, arg_min(quality, (CASE quality WHEN 'high' THEN 0 WHEN 'benchmark' THEN 1 ELSE 2 END) * 1000000000 + word_id) AS quality, arg_min(source, (CASE quality WHEN 'high' THEN 0 WHEN 'benchmark' THEN 1 ELSE 2 END) * 1000000000 + word_id) AS source FROM word GROUP BY lower(form), lang",
-    "flat_events": "SELECT e.event_id, form AS word, lang, type, year, year_end AS \"yearEnd\", f.connotation AS \"fromConn\", t.connotation AS \"toConn\", h.event_id IS NOT NULL AS \"hasTrigger\", source, quality FROM event e JOIN word w ON e.word_id = w.word_id LEFT JOIN es ON es.event_id = e.event_id LEFT JOIN sense f ON f.sense_id = sense_from LEFT JOIN sense t ON t.sense_id = sense_to LEFT JOIN (SELECT DISTINCT event_id FROM hyp) h ON h.event_id = e.event_id",
+    "word_dedup": "SELECT id, form, lang, merged, sources, quality, source FROM merged",
+    "words_order": "SELECT id, form, lang FROM merged ORDER BY lang <> 'en', lower(form), id",
+    "flat_events": f", {_FLAT} SELECT flat.event_id, word, lang, type, year, fc AS \"fromConn\", tc AS \"toConn\", has AS \"hasTrigger\", coalesce(causes, '') AS causes, source, quality FROM flat LEFT JOIN (SELECT event_id, string_agg(label || ' ' || CAST(confidence AS VARCHAR), '; ' ORDER BY confidence DESC, trigger_id) AS causes FROM hyp JOIN trig USING (trigger_id) GROUP BY event_id) c ON c.event_id = flat.event_id",
     "by_decade_type": "SELECT CAST(floor(year / 10.0) * 10 AS INT) AS decade, type, count(*) AS n FROM event GROUP BY ALL",
-    "trigger_impact": "SELECT t.trigger_id AS trigger, label, date AS year, category, count(DISTINCT form) AS \"wordCount\", coalesce(string_agg(DISTINCT form, ', ' ORDER BY form), '') AS words FROM trig t LEFT JOIN (hyp JOIN event USING (event_id) JOIN word USING (word_id)) h ON h.trigger_id = t.trigger_id GROUP BY ALL",
-    "facets": ", v AS (SELECT DISTINCT 'language' AS facet, lang AS value, 0 AS k FROM word UNION SELECT DISTINCT 'driftType', type, 0 FROM event UNION SELECT DISTINCT 'connotation', connotation, 0 FROM sense UNION SELECT DISTINCT 'evidenceType', evidence, 0 FROM ev UNION SELECT DISTINCT 'source', source, list_position(['Curated', 'GfdS', 'OWID', 'DWUG', 'SemEval', 'Frequency'], source) FROM word UNION SELECT DISTINCT 'quality', quality, list_position(['high', 'benchmark', 'detected'], quality) FROM word) SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY k, value) AS INT) AS ord FROM v WHERE value IS NOT NULL",
-    "meta_counts": ", m AS (SELECT lang, arg_min(quality, (CASE quality WHEN 'high' THEN 0 WHEN 'benchmark' THEN 1 ELSE 2 END) * 1000000000 + word_id) AS quality, arg_min(source, (CASE quality WHEN 'high' THEN 0 WHEN 'benchmark' THEN 1 ELSE 2 END) * 1000000000 + word_id) AS source FROM word GROUP BY lower(form), lang) SELECT 'byLanguage' AS facet, lang AS value, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'bySource', source, count(*) FROM m GROUP BY ALL UNION ALL SELECT 'byQuality', quality, count(*) FROM m GROUP BY ALL",
-    "word_span": "SELECT word_id, min(y) AS \"yearStart\", max(y) AS \"yearEnd\" FROM (SELECT word_id, year AS y FROM event UNION ALL SELECT word_id, year_end FROM event UNION ALL SELECT word_id, first_attested FROM (SELECT word_id, unnest([sense_from, sense_to]) AS sense_id FROM es JOIN event USING (event_id)) JOIN sense USING (sense_id)) WHERE y IS NOT NULL GROUP BY word_id",
-    "xling_symmetric": ", c AS (SELECT word_id, min(word_id) OVER (PARTITION BY lower(form), lang) AS canon FROM word), p AS (SELECT x.canon AS a, y.canon AS b FROM xling JOIN c x ON x.word_id = a JOIN c y ON y.word_id = b) SELECT a AS word_id, b AS other_id FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b",
-    "facet_filter": "SELECT word_id, form, lang, source, quality FROM word WHERE contains(lower(form), 'w1') AND lang = 'en' AND quality IN ('high', 'benchmark')",
-    "facet_year_overlap": ", d AS (SELECT form, lang, max(CASE WHEN year <= 1997 AND coalesce(year_end, year) >= 1996 THEN 1 ELSE 0 END) AS hit FROM event e JOIN word w ON e.word_id = w.word_id WHERE year IS NOT NULL GROUP BY ALL) SELECT word_id, form, lang, source, quality FROM word LEFT JOIN d USING (form, lang) WHERE coalesce(hit, 1) = 1",
-    "top_cause": ", r AS (SELECT word_id, trigger_id, confidence, row_number() OVER (PARTITION BY word_id ORDER BY confidence DESC, trigger_id) AS k FROM hyp JOIN event USING (event_id)) SELECT word_id, trigger_id, confidence FROM r WHERE k = 1",
-    "cause_rank": "SELECT label, count(*) AS n FROM hyp JOIN trig USING (trigger_id) GROUP BY trigger_id, label",
-    "decade_stack": ", d AS (SELECT CAST(floor(year / 10.0) * 10 AS INT) AS decade, type, count(*) AS n FROM event GROUP BY ALL), g AS (SELECT a.decade, b.type, coalesce(d.n, 0) AS n FROM (SELECT DISTINCT decade FROM d) a CROSS JOIN (SELECT DISTINCT type FROM d) b LEFT JOIN d ON d.decade = a.decade AND d.type = b.type) SELECT decade, type, n, CAST(sum(n) OVER (PARTITION BY decade ORDER BY type ROWS UNBOUNDED PRECEDING) AS BIGINT) AS top FROM g",
-    "trend_buckets": "SELECT CAST(CASE WHEN year < 1800 THEN floor(year / 100.0) * 100 ELSE floor(year / 10.0) * 10 END AS INT) AS bucket, type, coalesce(connotation, 'neutral') AS \"toConn\", count(*) AS n FROM event e JOIN word w ON e.word_id = w.word_id LEFT JOIN es ON es.event_id = e.event_id LEFT JOIN sense ON sense_id = sense_to GROUP BY ALL",
-    "trend_share": ", g AS (SELECT CAST(CASE WHEN year < 1800 THEN floor(year / 100.0) * 100 ELSE floor(year / 10.0) * 10 END AS INT) AS bucket, type, count(*) AS n FROM event JOIN word USING (word_id) GROUP BY ALL) SELECT bucket, type, n, round(n / sum(n) OVER (PARTITION BY bucket), 6) AS share FROM g",
-    "lexical_loss": ", f AS (SELECT CAST(floor(year / 10.0) * 10 AS INT) AS decade, a.connotation AS x, b.connotation AS y FROM event e JOIN word w ON e.word_id = w.word_id JOIN es ON es.event_id = e.event_id JOIN sense a ON a.sense_id = sense_from JOIN sense b ON b.sense_id = sense_to) SELECT decade, CAST(count(*) FILTER (x <> 'negative' AND y = 'negative') AS BIGINT) AS poisoned, CAST(count(*) FILTER (x = 'negative' AND y <> 'negative') AS BIGINT) AS reclaimed, CAST(count(*) FILTER (x <> 'negative' AND y = 'negative') - count(*) FILTER (x = 'negative' AND y <> 'negative') AS BIGINT) AS net FROM f GROUP BY decade",
-    "xling_pairs": ", t AS (SELECT DISTINCT word_id, trigger_id FROM hyp JOIN event USING (event_id)) SELECT CASE WHEN x.lang = 'en' THEN x.form ELSE y.form END AS en, CASE WHEN x.lang = 'en' THEN y.form ELSE x.form END AS de, (SELECT min(p.trigger_id) FROM t p JOIN t q ON p.trigger_id = q.trigger_id WHERE p.word_id = a AND q.word_id = b) AS shared FROM xling JOIN word x ON x.word_id = a JOIN word y ON y.word_id = b",
-    "trigger_summary": ", b AS (SELECT event_id, trigger_id, max(CASE evidence WHEN 'ScholarlyAttestation' THEN 5 WHEN 'LexicographicNote' THEN 4 WHEN 'ChangeSignalAlignment' THEN 3 WHEN 'FrequencyCorrelation' THEN 2 WHEN 'Speculative' THEN 1 ELSE 0 END) AS rung FROM ev GROUP BY ALL) SELECT trigger_id, round(avg(confidence), 6) AS \"meanConf\", min(confidence) AS \"minConf\", max(confidence) AS \"maxConf\", count(*) FILTER (rung = 5) AS scholarly, count(*) FILTER (rung <= 1) AS weak FROM hyp JOIN b USING (event_id, trigger_id) GROUP BY trigger_id",
-    "trigger_reach": "SELECT trigger_id, count(DISTINCT e.word_id) AS words, count(DISTINCT lang) AS languages FROM hyp JOIN event e USING (event_id) JOIN word w ON e.word_id = w.word_id GROUP BY trigger_id",
-    "trigger_cooccur": ", t AS (SELECT trigger_id, category, CAST(floor(date / 10.0) * 10 AS INT) AS decade FROM trig WHERE category IS NOT NULL) SELECT x.trigger_id AS a, y.trigger_id AS b, category, decade FROM t x JOIN t y USING (category, decade) WHERE x.trigger_id < y.trigger_id",
-    "bipartite_edges": ", b AS (SELECT t.trigger_id FROM trig t JOIN hyp h ON h.trigger_id = t.trigger_id JOIN event USING (event_id) JOIN word USING (word_id) GROUP BY t.trigger_id, date ORDER BY count(DISTINCT form) DESC, date, t.trigger_id LIMIT 40) SELECT DISTINCT h.trigger_id, form FROM hyp h JOIN b ON b.trigger_id = h.trigger_id JOIN event USING (event_id) JOIN word USING (word_id)",
-    "bipartite_degree": ", b AS (SELECT t.trigger_id FROM trig t JOIN hyp h ON h.trigger_id = t.trigger_id JOIN event USING (event_id) JOIN word USING (word_id) GROUP BY t.trigger_id, date ORDER BY count(DISTINCT form) DESC, date, t.trigger_id LIMIT 40), x AS (SELECT DISTINCT h.trigger_id, form FROM hyp h JOIN b ON b.trigger_id = h.trigger_id JOIN event USING (event_id) JOIN word USING (word_id)) SELECT CAST(trigger_id AS VARCHAR) AS node, count(*) AS degree FROM x GROUP BY trigger_id UNION ALL SELECT form, count(*) FROM x GROUP BY form",
-    "category_freq": "SELECT coalesce(lower(trim(category)), 'uncategorised') AS category, count(*) AS n FROM trig GROUP BY 1",
-    "connotation_arc": ", s AS (SELECT DISTINCT word_id, unnest([sense_from, sense_to]) AS sense_id FROM es JOIN event USING (event_id)) SELECT word_id, arg_min(connotation, CAST(first_attested AS BIGINT) * 1000000000 + sense_id) AS earliest, arg_max(connotation, CAST(first_attested AS BIGINT) * 1000000000 + sense_id) AS latest FROM s JOIN sense USING (sense_id) GROUP BY word_id",
-    "geo_points": "SELECT s_suppkey AS trigger_id, round(s_acctbal % 90, 4) AS lat, CAST(s_suppkey % 180 AS DOUBLE) AS lon FROM supplier WHERE s_suppkey % 7 <> 0 AND s_acctbal IS NOT NULL",
-    "geo_impact": "SELECT t.trigger_id, round(s_acctbal % 90, 4) AS lat, CAST(t.trigger_id % 180 AS DOUBLE) AS lon, count(DISTINCT form) AS \"wordCount\" FROM trig t JOIN supplier ON s_suppkey = trigger_id LEFT JOIN (hyp JOIN event USING (event_id) JOIN word USING (word_id)) h ON h.trigger_id = t.trigger_id WHERE t.trigger_id % 7 <> 0 GROUP BY ALL",
-    "trigger_hypotheses": ", r AS (SELECT form, lang, event_id, confidence, row_number() OVER (PARTITION BY form, lang ORDER BY confidence DESC, event_id) AS k FROM hyp JOIN event e USING (event_id) JOIN word w ON e.word_id = w.word_id WHERE trigger_id = 3) SELECT form, lang, event_id, confidence FROM r WHERE k = 1",
-    "csv_words": ", m AS (SELECT min(word_id) AS id, arg_min(form, word_id) AS form, lang, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources, arg_min(quality, (CASE quality WHEN 'high' THEN 0 WHEN 'benchmark' THEN 1 ELSE 2 END) * 1000000000 + word_id) AS quality FROM word GROUP BY lower(form), lang) SELECT id || ',' || form || ',' || lang || ',\"' || sources || '\",' || quality AS line FROM m",
-    "claims_ledger": "SELECT h.event_id, form, lang, type, year, label, confidence, string_agg(DISTINCT evidence, '; ' ORDER BY evidence) AS evidence FROM hyp h JOIN ev ON ev.event_id = h.event_id AND ev.trigger_id = h.trigger_id JOIN event e ON e.event_id = h.event_id JOIN word w ON w.word_id = e.word_id JOIN trig t ON t.trigger_id = h.trigger_id GROUP BY h.event_id, h.trigger_id, form, lang, type, year, label, confidence",
-    "fmt_year": "SELECT trigger_id, CASE WHEN date < 1950 THEN (1950 - date) || ' BC' ELSE CAST(date - 1950 AS VARCHAR) END AS shown, CASE WHEN date < 1950 THEN '-' ELSE '' END || lpad(CAST(abs(date - 1950) AS VARCHAR), 4, '0') AS gyear, 'year-of-' || abs(date - 1950) AS slug FROM trig",
-    "shacl_report": "SELECT 'Trigger' AS shape, 'minCount category' AS \"constraint\", count(*) AS n FROM trig WHERE category IS NULL UNION ALL SELECT 'DriftEvent', 'class affectsWord', count(*) FROM event e WHERE NOT EXISTS (SELECT 1 FROM word w WHERE w.word_id = e.word_id) UNION ALL SELECT 'DriftEvent', 'range driftYear', count(*) FROM event WHERE year < 1996 OR year > 2100 UNION ALL SELECT 'DriftEvent', 'or year interval', count(*) FROM event WHERE drift_year IS NULL AND year_end IS NULL UNION ALL SELECT 'CausalHypothesis', 'range confidence', count(*) FROM hyp WHERE confidence < 0 OR confidence > 1 UNION ALL SELECT 'CausalHypothesis', 'maxCount aboutDrift', count(*) FROM (SELECT event_id FROM hyp GROUP BY event_id HAVING count(*) > 1) UNION ALL SELECT 'CausalHypothesis', 'sparql speculative', count(*) FROM hyp h WHERE confidence >= 0.66 AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.event_id = h.event_id AND ev.trigger_id = h.trigger_id AND evidence <> 'Speculative')",
-    "fuzzy_search": ", i AS (SELECT 'word' AS kind, form AS label FROM word UNION SELECT 'trigger', label FROM trig), s AS (SELECT kind, label, CASE WHEN lower(label) = 'w12' THEN 1000.0 ELSE 800.0 - length(label) END AS score FROM i WHERE starts_with(lower(label), 'w12')) SELECT kind, label, CAST(score AS DOUBLE) AS score FROM s ORDER BY score DESC, label, kind LIMIT 10",
+    "trigger_impact": f", {_IMPACT} SELECT trigger, label, year, category, n AS \"wordCount\", words FROM impact",
+    "facets": ", v AS (SELECT DISTINCT 'language' AS facet, lang AS value, 0 AS k FROM merged UNION SELECT DISTINCT 'driftType', type, 0 FROM event UNION SELECT DISTINCT 'connotation', connotation, 0 FROM sense WHERE sense_id IN (SELECT unnest([sense_from, sense_to]) FROM es JOIN event USING (event_id)) UNION SELECT unnest(['evidenceType', 'evidenceType', 'evidenceType', 'evidenceType', 'evidenceType']), unnest(['ScholarlyAttestation', 'LexicographicNote', 'ChangeSignalAlignment', 'FrequencyCorrelation', 'Speculative']), 0 UNION SELECT DISTINCT 'source', source, list_position(['Curated', 'GfdS', 'OWID', 'DWUG', 'SemEval', 'Frequency'], source) FROM merged UNION SELECT DISTINCT 'quality', quality, list_position(['high', 'benchmark', 'detected'], quality) FROM merged) SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY k, value) AS INT) AS ord FROM v WHERE value IS NOT NULL",
+    "meta_counts": "SELECT 'byLanguage' AS facet, lang AS value, count(*) AS n FROM merged GROUP BY ALL UNION ALL SELECT 'bySource', source, count(*) FROM merged GROUP BY ALL UNION ALL SELECT 'byQuality', quality, count(*) FROM merged GROUP BY ALL UNION ALL SELECT 'totals', 'words', count(*) FROM merged UNION ALL SELECT 'totals', 'rawWordNodes', count(*) FROM customer UNION ALL SELECT 'totals', 'mergedDuplicates', (SELECT count(*) FROM customer) - (SELECT count(*) FROM merged) UNION ALL SELECT 'totals', 'driftEvents', count(*) FROM event JOIN word USING (word_id) UNION ALL SELECT 'totals', 'triggers', count(*) FROM trig",
+    "freq_series": "SELECT c.canon AS id, f.year, f.value FROM freq f JOIN canon c USING (word_id) WHERE NOT EXISTS (SELECT 1 FROM freq g JOIN canon d USING (word_id) WHERE d.canon = c.canon AND g.year = f.year AND g.word_id < f.word_id)",
+    "word_span": f", {_FLAT}, {_LIGHT} SELECT id, form AS \"writtenForm\", lang AS language, source, quality, coalesce(types, '') AS \"driftTypeLabels\", y0 AS \"yearStart\", y1 AS \"yearEnd\", coalesce(has, false) AS \"hasTrigger\" FROM light",
+    "xling_symmetric": f", {_XLING} SELECT word_id, other_id FROM sym",
 }

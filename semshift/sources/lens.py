@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quality_of
 
+#: Name spaces of the lens's triples.
+VOCAB, RESOURCE, XSD = "http://example.org/vocab#", "http://example.org/r/", "http://www.w3.org/2001/XMLSchema#"
+TYPE, LANG = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"
+LABEL, PREF, CONCEPT = "http://www.w3.org/2000/01/rdf-schema#label", "http://www.w3.org/2004/02/skos/core#prefLabel", "http://www.w3.org/2004/02/skos/core#Concept"
+
 #: Sources by market segment, evidence by line flags.
 SEGMENTS = (("AUTOMOBILE", "GfdS"), ("BUILDING", "DWUG"), ("FURNITURE", "SemEval"), ("HOUSEHOLD", "Frequency"))
 FLAGS = (("AF", "ScholarlyAttestation"), ("AO", "LexicographicNote"), ("RF", "ChangeSignalAlignment"), ("RO", "FrequencyCorrelation"), ("NO", "Speculative"))
@@ -35,38 +40,73 @@ class Entities:
 
     @cached_property
     def word(self) -> DataFrame:
+        """word_id, written (the form as written, if any), form (written, else the id), lang, source, quality."""
         form = F.concat(F.lit("w"), (F.col("c_custkey") % 1000).cast("string"))
+        form = F.when(F.col("c_custkey") % 3 == 0, F.upper(form)).otherwise(form)
         w = self.read("customer").select(
-            F.col("c_custkey").alias("word_id"),
-            F.when(F.col("c_custkey") % 3 == 0, F.upper(form)).otherwise(form).alias("form"),
+            F.col("c_custkey").alias("word_id"), form.alias("written"), form.alias("form"),
             F.when(F.col("c_nationkey") % 2 == 0, "en").otherwise("de").alias("lang"),
             _mapped(F.col("c_mktsegment"), SEGMENTS, "Curated").alias("source"),
-        )
+        )
         return w.withColumn("quality", quality_of(F.col("source")))
 
+    @property
+    def word_node(self) -> DataFrame:
+        """Every word, whether it has a form or a sense or not."""
+        return self.read("customer").select(F.col("c_custkey").alias("word_id"))
+
     @cached_property
     def event(self) -> DataFrame:
+        """event_id, word_id, drift_year (the event's own), year (or else its interval's first), year_end (the interval's last), confidence."""
         y = F.year("o_orderdate")
         return self.read("orders").select(
-            F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("word_id"), F.col("o_orderpriority").alias("type"), y.alias("year"),
-            F.when(F.col("o_orderstatus") == "P", y + 1).alias("year_end"), F.when(F.col("o_orderstatus") != "P", y).alias("drift_year"),
+            F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("word_id"), y.alias("year"), F.when(F.col("o_orderstatus") == "P", y + 1).alias("year_end"),
+            F.when(F.col("o_orderstatus") != "P", y).alias("drift_year"), F.lit(None).cast("double").alias("confidence"),
         )
 
+    @cached_property
+    def event_type(self) -> DataFrame:
+        """event_id, type_id, type (label to show), type_en (English label, if any)."""
+        t = F.col("o_orderpriority")
+        return self.read("orders").select(F.col("o_orderkey").alias("event_id"), t.alias("type_id"), t.alias("type"), t.alias("type_en"))
+
+    @cached_property
+    def event_label(self) -> DataFrame:
+        """event_id, type: the labels of all types of an event, joined in order of their ids."""
+        return self.event_type.select("event_id", "type")
+
     @cached_property
     def trigger(self) -> DataFrame:
+        """trigger_id, label, label_en, date, category, category_en, same_as, description."""
         nation = self.read("nation").select("n_nationkey", "n_regionkey")
         region = self.read("region").select("r_regionkey", "r_name")
-        s = self.read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        return s.select(F.col("s_suppkey").alias("trigger_id"), F.col("s_name").alias("label"), (1900 + F.col("s_suppkey") % 120).cast("int").alias("date"), F.when(F.col("r_name") != "MIDDLE EAST", F.col("r_name")).alias("category"))
+        s = self.read("supplier").join(F.broadcast(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))), F.col("s_nationkey") == F.col("n_nationkey"))  # the nations of the world
+        category = F.when(F.col("r_name") != "MIDDLE EAST", F.col("r_name"))
+        return s.select(
+            F.col("s_suppkey").alias("trigger_id"), F.col("s_name").alias("label"), F.col("s_name").alias("label_en"), (1900 + F.col("s_suppkey") % 120).cast("int").alias("date"),
+            category.alias("category"), category.alias("category_en"), F.concat(F.lit("http://example.org/entity/Q"), F.col("s_suppkey").cast("string")).alias("same_as"), F.lit(None).cast("string").alias("description"),
+        )
 
     @cached_property
-    def hypothesis(self) -> DataFrame:
-        return self.read("lineitem").groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("trigger_id")).agg(F.round(F.max("l_discount") * 10, 6).alias("confidence"))
+    def claim(self) -> DataFrame:
+        """hyp_id, event_id, trigger_id, confidence, evidence (sorted keys), evidence_en (their English labels): a hypothesis in one row.
+
+        One aggregation of line items serves confidence and evidence alike.
+        """
+        flag = _mapped(F.concat("l_returnflag", "l_linestatus"), FLAGS, "Other")
+        g = self.read("lineitem").groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("trigger_id"))
+        g = g.agg(F.round(F.max("l_discount") * 10, 6).alias("confidence"), F.array_sort(F.collect_set(flag)).alias("evidence"))
+        return g.select(F.concat_ws("-", "event_id", "trigger_id").alias("hyp_id"), "event_id", "trigger_id", "confidence", "evidence", F.col("evidence").alias("evidence_en"))
 
     @cached_property
-    def evidence(self) -> DataFrame:
-        flags = F.concat("l_returnflag", "l_linestatus")
-        return self.read("lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("trigger_id"), _mapped(flags, FLAGS, "Other").alias("evidence")).distinct()
+    def pair(self) -> DataFrame:
+        """event_id, trigger_id of every claim, without what else it says."""
+        return self.read("lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("trigger_id")).distinct()
+
+    @property
+    def hypothesis(self) -> DataFrame:
+        """event_id, trigger_id, confidence, evidence: claims about one event and trigger in one row. On the lens they are claims."""
+        return self.claim.select("event_id", "trigger_id", "confidence", F.col("evidence_en").alias("evidence"))
 
     @cached_property
     def event_sense(self) -> DataFrame:
@@ -74,8 +114,13 @@ class Entities:
 
     @cached_property
     def sense(self) -> DataFrame:
-        c = F.col("p_size") % 3
-        return self.read("part").select(F.col("p_partkey").alias("sense_id"), F.when(c == 0, "negative").when(c == 1, "neutral").otherwise("positive").alias("connotation"), F.col("p_name").alias("gloss"), (1000 + F.col("p_size") * 10).cast("int").alias("first_attested"))
+        """sense_id, connotation (label to show), connotation_id, connotation_en, gloss (to show), gloss_en, first_attested, att_begin, att_end."""
+        c = F.when(F.col("p_size") % 3 == 0, "negative").when(F.col("p_size") % 3 == 1, "neutral").otherwise("positive")
+        none = F.lit(None).cast("int")
+        return self.read("part").select(
+            F.col("p_partkey").alias("sense_id"), c.alias("connotation"), c.alias("connotation_id"), c.alias("connotation_en"), F.col("p_name").alias("gloss"), F.col("p_name").alias("gloss_en"),
+            (1000 + F.col("p_size") * 10).cast("int").alias("first_attested"), none.alias("att_begin"), none.alias("att_end"),
+        )
 
     @cached_property
     def xling(self) -> DataFrame:
@@ -84,16 +129,6 @@ class Entities:
         b = w.select(F.col("word_id").alias("b"), F.col("lang").alias("lb"))
         return a.join(b, F.col("b") == F.col("a") + 1).where("la <> lb").select("a", "b")
 
-    @cached_property
-    def event_type(self) -> DataFrame:
-        return self.event.select("event_id", "type")
-
-    @cached_property
-    def early_event(self) -> DataFrame:
-        """Events of the first month, to which the lens holds the pairs of cq04."""
-        early = self.read("orders").where(F.col("o_orderdate") < F.lit("1995-02-01").cast("timestamp")).select(F.col("o_orderkey").alias("event_id"))
-        return self.event.join(early, "event_id", "left_semi")
-
     @cached_property
     def word_sense(self) -> DataFrame:
         """word_id, sense_id of every sense that a word's events lead from or to."""
@@ -106,10 +141,69 @@ class Entities:
         title = F.concat(F.lit("S"), F.year("l_shipdate").cast("string"))
         return self.read("lineitem").select(F.col("l_orderkey").alias("event_id"), title.alias("source_id"), title.alias("title")).distinct()
 
+    @cached_property
+    def claim_source(self) -> DataFrame:
+        """hyp_id, title, url of the sources of a hypothesis."""
+        hyp = F.concat_ws("-", "l_orderkey", "l_suppkey")
+        return self.read("lineitem").select(hyp.alias("hyp_id"), F.concat(F.lit("S"), F.year("l_shipdate").cast("string")).alias("title"), F.lit(None).cast("string").alias("url")).distinct()
+
+    @cached_property
+    def frequency(self) -> DataFrame:
+        """word_id, year, value: events of a user by day of the month count as its word's frequency in that year."""
+        return self.read("events").groupBy(F.col("user_id").alias("word_id"), F.dayofmonth("ts").alias("year")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+    @cached_property
+    def drift_type(self) -> DataFrame:
+        """id, label, broaderId, broaderLabel of the drift types."""
+        t = self.event_type.select("type_id").distinct()
+        number = F.substring("type_id", 1, 1).cast("int")
+        broader = F.when(number <= 2, "pressing").when(number <= 4, "usual")
+        return t.select(F.col("type_id").alias("id"), F.col("type_id").alias("label"), broader.alias("broaderId"), broader.alias("broaderLabel"))
+
+    @cached_property
+    def evidence_type(self) -> DataFrame:
+        """label of each evidence type of the scheme, used or not."""
+        return self.spark.createDataFrame([(e,) for _, e in FLAGS], "label string")
+
     @cached_property
     def geo(self) -> DataFrame:
         lon = F.when(F.col("s_suppkey") % 7 != 0, F.col("s_suppkey") % 180)
-        return self.read("supplier").select(F.col("s_suppkey").alias("trigger_id"), F.round(F.col("s_acctbal") % 90, 4).alias("lat"), lon.cast("double").alias("lon"))
+        kind = F.when(F.col("s_suppkey") % 4 == 0, "P625").when(F.col("s_suppkey") % 4 == 1, "P19").when(F.col("s_suppkey") % 4 == 2, "P999")
+        return self.read("supplier").select(F.col("s_suppkey").alias("trigger_id"), F.round(F.col("s_acctbal") % 90, 4).alias("lat"), lon.cast("double").alias("lon"), kind.alias("coordSource"))
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        """The same as triples (s, p, o, kind, lang, datatype): words, events, triggers, hypotheses and their concepts."""
+        r = lambda kind, c: F.concat(F.lit(RESOURCE + kind), F.col(c).cast("string") if isinstance(c, str) else c)
+        lit = lambda c, lang=None, kind=XSD + "string": (c.cast("string"), F.lit("literal"), lang if lang is not None else F.lit(None).cast("string"), F.lit(kind if lang is None else LANG))
+        iri = lambda c: (c, F.lit("iri"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+        a = lambda kind: (F.lit(TYPE), *iri(F.lit(VOCAB + kind)))
+
+        def rows(df: DataFrame, s, *said) -> DataFrame:
+            t = F.explode(F.array(*[F.struct(p.alias("p") if not isinstance(p, str) else F.lit(VOCAB + p).alias("p"), o.alias("o"), k.alias("kind"), l.alias("lang"), d.alias("datatype")) for p, o, k, l, d in said]))
+            return df.select(s.alias("s"), t.alias("t")).where("t.o is not null").select("s", "t.*")
+
+        en = F.lit("en")
+        year = XSD + "gYear"
+        w = self.word
+        e = self.event.join(self.event_type, "event_id")
+        slug = lambda c: F.regexp_replace(F.col(c), "[^A-Za-z0-9]", "")
+        h = self.claim
+        parts = [
+            rows(w, r("word-", "word_id"), a("Word"), ("writtenForm", *lit(F.col("written"), F.col("lang"))), ("language", *lit(F.col("lang")))),
+            rows(e, r("event-", "event_id"), a("DriftEvent"), ("affectsWord", *iri(r("word-", "word_id"))), ("driftType", *iri(r("type-", slug("type_id")))), ("driftYear", *lit(F.col("drift_year"), kind=year)),
+                 ("driftInterval", *iri(F.when(F.col("drift_year").isNull() & (F.col("event_id") % 2 == 0), r("interval-", "event_id"))))),
+            rows(self.trigger, r("trigger-", "trigger_id"), a("TriggerEvent"), (F.lit(LABEL), *lit(F.col("label_en"), en)), ("eventDate", *lit(F.col("date"), kind=year)), ("triggerCategory", *iri(r("category-", slug("category"))))),
+            rows(h, r("hyp-", "hyp_id"), a("CausalHypothesis"), ("aboutDrift", *iri(r("event-", "event_id"))), ("proposedTrigger", *iri(r("trigger-", "trigger_id"))), ("confidence", *lit(F.col("confidence"), kind=XSD + "decimal"))),
+            rows(h.select("hyp_id", F.explode("evidence").alias("x")), r("hyp-", "hyp_id"), ("evidenceType", *iri(r("evidence/", "x")))),
+            rows(self.drift_type, r("type-", slug("id")), (F.lit(TYPE), *iri(F.lit(CONCEPT))), (F.lit(PREF), *lit(F.col("label"), en))),
+            rows(self.trigger.select("category").where("category <> 'AFRICA'").distinct(), r("category-", slug("category")), (F.lit(TYPE), *iri(F.lit(CONCEPT))), (F.lit(PREF), *lit(F.col("category"), en))),
+            rows(self.evidence_type, r("evidence/", "label"), (F.lit(TYPE), *iri(F.lit(CONCEPT))), (F.lit(PREF), *lit(F.col("label"), en))),
+        ]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
 
 #: The same tables as common table expressions; a query's SQL follows.
@@ -118,6 +212,10 @@ WITH word AS (SELECT c_custkey AS word_id, CASE WHEN c_custkey % 3 = 0 THEN uppe
   CASE WHEN c_nationkey % 2 = 0 THEN 'en' ELSE 'de' END AS lang,
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'GfdS' WHEN 'BUILDING' THEN 'DWUG' WHEN 'FURNITURE' THEN 'SemEval' WHEN 'HOUSEHOLD' THEN 'Frequency' ELSE 'Curated' END AS source,
   CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'benchmark' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'detected' ELSE 'high' END AS quality FROM customer),
+freq AS (SELECT user_id AS word_id, CAST(day(ts) AS INT) AS year, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL),
+canon AS (SELECT word_id, min(word_id) OVER (PARTITION BY lower(form), lang) AS canon FROM word),
+merged AS (SELECT min(word_id) AS id, arg_min(form, word_id) AS form, lang, count(*) AS merged, string_agg(DISTINCT source, '; ' ORDER BY source) AS sources,
+  arg_min(quality, (CASE quality WHEN 'high' THEN 0 WHEN 'benchmark' THEN 1 ELSE 2 END) * 1000000000 + word_id) AS quality, arg_min(source, (CASE quality WHEN 'high' THEN 0 WHEN 'benchmark' THEN 1 ELSE 2 END) * 1000000000 + word_id) AS source FROM word GROUP BY lower(form), lang),
 event AS (SELECT o_orderkey AS event_id, o_custkey AS word_id, o_orderpriority AS type, CAST(year(o_orderdate) AS INT) AS year, CAST(CASE WHEN o_orderstatus = 'P' THEN year(o_orderdate) + 1 END AS INT) AS year_end,
   CAST(CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END AS INT) AS drift_year FROM orders),
 trig AS (SELECT s_suppkey AS trigger_id, s_name AS label, CAST(1900 + s_suppkey % 120 AS INT) AS date, CASE WHEN r_name <> 'MIDDLE EAST' THEN r_name END AS category
