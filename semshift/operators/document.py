@@ -98,7 +98,7 @@ def flat_events(e: Entities) -> DataFrame:
 
 def _types(column: str | Column) -> Column:
     """The types of a joined label: split at commas, trimmed, none empty."""
-    return F.filter(F.transform(F.split(column, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(column, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def by_decade_type(e: Entities) -> DataFrame:

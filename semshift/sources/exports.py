@@ -98,15 +98,14 @@ def _said(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"    {name} "), value)
 
 
-def _block(subject: Column, kind: str, *lines: Column) -> Column:
-    """One statement; a line whose value is missing is left out. A line may be an array of lines."""
-    all_ = F.array_compact(F.concat(*[x if isinstance(x, Column) and getattr(x, "many", False) else F.array(x) for x in lines]))
+def _block(subject: Column, kind: str, *lines: Column | tuple[Column]) -> Column:
+    """One statement; a line whose value is missing is left out. A tuple holds a column of many lines."""
+    all_ = F.array_compact(F.concat(*[x[0] if isinstance(x, tuple) else F.array(x) for x in lines]))
     return F.concat(subject, F.lit(f" a drift:{kind}"), F.when(F.size(all_) > 0, F.concat(F.lit(" ;\n"), F.array_join(all_, " ;\n"))).otherwise(""), F.lit(" ."))
 
 
-def _many(c: Column) -> Column:
-    c.many = True
-    return c
+def _many(c: Column) -> tuple[Column]:
+    return (c,)
 
 
 def _trigger_block(t: dict[str, Column]) -> Column:

@@ -354,7 +354,8 @@ class Compiler:
             bound = ("call", "BOUND", [("var", flag)])
             return bound if x[2] else ("op", "!", [bound])
 
-        return rows, walk(e), extra
+        plain = walk(e)  # joins as it goes
+        return rows, plain, extra
 
     # expressions
 

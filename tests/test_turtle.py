@@ -4,6 +4,7 @@ import pytest
 
 from semshift.operators import document as d
 from semshift.operators import questions as q
+from semshift.operators import views as v
 from semshift.sources import graph, turtle
 
 BASIC = '''
@@ -98,8 +99,9 @@ def test_ntriples_lines(spark, tmp_path):
 
 def test_entities(g):
     assert {(r.form, r.lang, r.source, r.quality) for r in g.word.collect()} == {("Lamp", "en", "Curated", "high"), ("lamp", "en", "DWUG", "benchmark"), ("Lampe", "de", "Curated", "high")}
-    assert {(r.event_id[-2:], r.type, r.year, r.year_end, r.drift_year) for r in g.event.collect()} == {("e1", "B, kind a", 1901, None, 1901), ("e2", "kind a", 1850, 1860, None)}
-    assert {(r.label, r.date, r.category) for r in g.trigger.collect()} == {("Power", 1880, "Cat"), ("Krieg", None, None)}
+    assert {(r.event_id[-2:], r.year, r.year_end, r.drift_year) for r in g.event.collect()} == {("e1", 1901, None, 1901), ("e2", 1850, 1860, None)}
+    assert {(r.event_id[-2:], r.type) for r in g.event_label.collect()} == {("e1", "kind a, B"), ("e2", "kind a")}
+    assert {(r.label, r.label_en, r.date, r.category) for r in g.trigger.collect()} == {("Power", "Power", 1880, None), ("Krieg", None, None, None)}
     assert {(r.connotation, r.gloss, r.first_attested) for r in g.sense.collect()} == {("positive", 'a "light"', 1700), ("negative", None, -44)}
     assert [(r.year, r.value) for r in g.frequency.collect()] == [(1999, 1.5)]
 
@@ -110,7 +112,7 @@ def test_analytics_on_a_graph(g):
     assert [tuple(r) for r in q.cq05(g).collect()] == [("Lamp", "positive", "negative", 1901)]
     assert {(r.decade, r.type, r.n) for r in d.by_decade_type(g).collect()} == {(1900, "B", 1), (1900, "kind a", 1), (1850, "kind a", 1)}
     assert d.words_merged(g).count() == 2
-    assert [(r.form, r.confidence) for r in d.trigger_hypotheses(g, "http://example.org/r/t1").collect()] == [("Lamp", 0.9)]
+    assert [(r.word, r.confidence) for r in v.trigger_hypotheses(g, "http://example.org/r/t1").collect()] == [("Lamp", 0.9)]
 
 
 def test_coords(spark, tmp_path):
