@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one, stored
+from .common import forget, one, stored
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = stored(e, "links")
     sign = None
     while True:
-        e = stored(_star(_star(e, True), False), "stars")
+        old, e = e, stored(_star(_star(e, True), False), "stars")
+        forget(old)
         new = one(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 31)), F.countDistinct("u")))
         if new == sign or new[0] == new[2] and not one(e.alias("x").join(e.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").agg(F.count(F.lit(1))))[0]:
             break  # every node has one link, to a node that has none: stars

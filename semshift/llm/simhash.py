@@ -6,15 +6,17 @@ Two ways to candidates, of which `linked` takes codeword indices of 23-bit finge
   errors (pigeonhole); the next one has at most two, so the lists of its near codewords share an index. Key: the exact
   segment with each near index of the next. A crowded key is made longer by the near indices of the third segment, which
   loses no pair either.
-* `near_copies` is for similarities of shingle sets, which fingerprints would only guess at: all pairs of sets that share one
-  of their first shingles, then exact Jaccard similarity.
+* `near_copies` is for similarities of shingle sets, which fingerprints only guess at: at a similarity of 0.8 some 10 of 64
+  bits differ. What `linked` finds is compared set by set and links first; whatever the fingerprints miss is found among the sets
+  that share one of their first shingles, again by exact Jaccard similarity.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import stored, table
+from .common import forget, stored, table
 from .graph import components
 
 #: Fingerprints under one key from which the key is made longer.
@@ -115,7 +117,10 @@ def linked(nodes: DataFrame) -> DataFrame:
     hot = keys.join(crowded, "key", "left_semi").mapInArrow(_longer, "key long, fp long")
     k = cold.unionByName(hot)
     x, y = k.select("key", F.col("fp").alias("a")), k.select("key", F.col("fp").alias("b"))
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b").distinct()
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b").distinct()
+    pairs = stored(pairs, "golay-pairs")
+    forget(keys, crowded)
+    return pairs
 
 
 def near_groups(docs: DataFrame, words: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -135,6 +140,12 @@ def near_groups(docs: DataFrame, words: int = 3, text: str = "text", doc_id: str
 
 #: One document in so many gives the common shingles; rows there from which one is common; the most that are remembered.
 SAMPLE, COMMON, REMEMBERED = 16, 8, 1 << 16
+#: How often rows outside a key's first group meet others outside it, and twice how many.
+ROUNDS, HUBS = 2, 4
+#: Rows of a common key that are dealt together, as the sample has it.
+CROWD = 4096
+#: Rows of numbers that may be broadcast: some 20 MB.
+FEW = 1 << 18
 #: Bytes of the bitmap of a set's hashes: elements whose bit the other set lacks aren't shared, which bounds what two sets share.
 BITMAP = 256
 
@@ -176,8 +187,9 @@ def _sets(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
 
     need = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     need = stored(need, "near-need")
-    few = need.count() <= 1 << 18  # then the texts stay where they are
-    return stored(rows.select("row", "t").join(F.broadcast(need) if few else need, "row").mapInArrow(sets, "row long, s binary"), "shingle-sets")
+    out = stored(rows.select("row", "t").join(_small(need), "row").mapInArrow(sets, "row long, s binary"), "shingle-sets")
+    forget(need)
+    return out
 
 
 def _alike(pairs: DataFrame, s: DataFrame, least: float) -> DataFrame:
@@ -204,18 +216,31 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few rows, so that the texts it is joined with stay where they are; as it is otherwise."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, component_id, stays and the columns `keep` for every row: groups linked by Jaccard similarity `least` or more of word shingle sets.
 
     component_id is the group's least doc_id (null if no row has one); `stays` is true for one row of each group, the first
-    with that doc_id. Texts without words are copies of each other. Repeated and null doc_ids are rows of their own.
+    with that doc_id. Texts without words are copies of each other. Repeated and null doc_ids are rows of their own. An empty
+    table gives no rows.
 
-    No pair is missed: in any order that all sets share, two sets with similarity `least` have one of the first
-    n - ceil(least * n) + 1 shingles in common, so these are the keys, common shingles last. Under each key the first and
-    the last row meet all others; then, wherever a key's rows aren't all connected, every pair of rows not connected yet.
+    Golay keys give the first links: fingerprints within 2 bits, sets compared. No pair is missed, though: in any order that
+    all sets share, two sets with similarity `least` have one of the first n - ceil(least * n) + 1 shingles in common, so
+    these are keys, common shingles last. Under each key the first and the last row meet all others; rows that this doesn't
+    connect meet a few of each other; then, wherever a key has further rows that aren't connected yet, every pair of those.
     """
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _text(docs, text).alias("t"), *[F.col(c).alias(f"k_{c}") for c in keep])
     rows = stored(picked.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    # equal texts but for case are one node, whose first row has its work done for all
+    lower = F.translate(F.col("t").cast("string"), ascii_uppercase, ascii_lowercase).cast("binary")
+    of_text = stored(rows.select("row", "doc_id", F.unhex(F.md5(lower)).alias("digest")), "near-digests")
+    nodes = stored(of_text.groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("rows")), "near-nodes")
+    doubles = of_text.join(nodes, "digest").where("row > rep").select("row")
+    alone = rows.select("row", "t").join(_small(stored(doubles, "near-doubles")), "row", "left_anti")
 
     def every(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -226,60 +251,125 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
     often = some.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "h").limit(REMEMBERED).collect()
     common = np.array([r[0] for r in often], np.int64).view(np.uint64)
     by = np.argsort(common)
+    deals = np.array([-(-SAMPLE * r[1] // CROWD) for r in often], np.int64)[by]  # parts that a common key's rows are dealt into
     common, rank = common[by], len(by) - by
 
     def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            digest, size, first, bits = [], [], [], []
+            size, first, bits, fp, dealt = [], [], [], [], []
             for t in b.column(1):
                 h = np.unique(shingle_hashes(t.as_py(), words))
-                digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 size.append(len(h))
                 own = np.zeros(8 * BITMAP, bool)
                 own[h & np.uint64(8 * BITMAP - 1)] = True
                 bits.append(np.packbits(own).tobytes())
-                first.append(_ordered(h, common, rank)[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].view(np.int64))
-            off = np.r_[0, np.cumsum([len(f) for f in first])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists, pa.array(bits, pa.binary())], ["row", "digest", "n", "keys", "bits"])
-
-    marked = stored(rows.select("row", "t").mapInArrow(prefixes, "row long, digest binary, n int, keys array<long>, bits binary"), "near-prefixes")
-    nodes = stored(marked.groupBy("digest").agg(F.min("row").alias("rep")), "near-nodes")
-    keys = marked.join(nodes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.posexplode("keys").alias("at", "key"), "row", "n")
-    own = Window.partitionBy("key")
-    me = F.struct("row", "n", "at")
-    met = stored(keys.select("key", "row", "n", "at", F.min(me).over(own).alias("lo"), F.max(me).over(own).alias("hi")).where("lo.row < hi.row"), "near-keys")
+                fp.append(majority(h)[0])
+                k = _ordered(h, common, rank)[: len(h) - math.ceil(least * len(h) - 1e-9) + 1]
+                at = np.minimum(np.searchsorted(common, k), max(0, len(common) - 1))
+                dealt.append(np.where(common[at] == k, deals[at], 1).astype(np.int32) if len(common) else np.ones(len(k), np.int32))
+                first.append(k.view(np.int64))
+            off = pa.array(np.r_[0, np.cumsum([len(f) for f in first])].astype(np.int32))
+            lists = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+            parts_of = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int32), *dealt])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), lists, parts_of, pa.array(bits, pa.binary())], ["row", "fp", "n", "keys", "deals", "bits"])
+
+    marked = stored(alone.mapInArrow(prefixes, "row long, fp long, n int, keys array<long>, deals array<int>, bits binary"), "near-prefixes")
+
+    # fingerprints under one Golay key meet the key's least one, equal ones their first row: a star, whatever their number
+    fps = stored(marked.groupBy("fp").agg(F.min("row").alias("rep")), "near-fingerprints")
+    golay_keys = stored(fps.select("fp").mapInArrow(_keys, "key long, fp long"), "golay-keys")
+    hubs = golay_keys.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    star = golay_keys.join(hubs, "key").where((F.col("hub") < F.col("fp")) & (F.bit_count(F.col("hub").bitwiseXOR(F.col("fp"))) <= 2)).select("hub", "fp").distinct()
+    row_of = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}"))
+    met = star.join(row_of("hub"), "hub").join(row_of("fp"), "fp").select(F.least("rhub", "rfp").alias("a"), F.greatest("rhub", "rfp").alias("b"))
+    same = marked.select("row", "fp").join(fps, "fp").where("row > rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    golay_ = stored(met.unionByName(same), "near-golay")
+    likely = _likely(golay_, marked, least)
+    sets = _sets(likely, rows, words)
+    links = _alike(likely, sets, least)
+    comp = stored(components(links), "near-groups")
+    forget(fps, golay_keys, golay_, likely, sets)
+
+    # how many shingles a set has, and where in its order the key stands
+    keys = marked.select(F.posexplode(F.arrays_zip("keys", "deals")).alias("at", "k"), "row", "n").select("k.keys", "k.deals", "row", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("m"))
+    keys = keys.select(F.col("keys").alias("key"), F.when(F.col("deals") > 1, F.pmod(F.xxhash64("row"), F.col("deals")).cast("int")).otherwise(-1).alias("part"), "row", "m")
+    own = Window.partitionBy("key", "part")  # a crowded key's rows meet the ends of their part here, and those of the key below
+    me = F.struct("row", "m")
+    met = keys.select("key", "part", "row", "m", F.min(me).over(own).alias("lo"), F.max(me).over(own).alias("hi"), F.count(F.lit(1)).over(own).alias("c")).where("c > 1 or part >= 0")
+    met = stored(met.select("key", "part", "row", "m", F.col("lo.row").alias("lo"), F.col("lo.m").alias("lo_m"), F.col("hi.row").alias("hi"), F.col("hi.m").alias("hi_m"), "c"), "near-keys")
+    crowd = met.where("part >= 0")
+    end = lambda f, e: f(F.struct(F.col(e).alias("row"), F.col(f"{e}_m").alias("m")))
+    hubs = crowd.groupBy("key").agg(end(F.min, "lo").alias("l"), end(F.max, "hi").alias("h"))
+    hubs = stored(hubs.select("key", F.col("l.row").alias("hub"), F.col("l.m").alias("hub_m"), F.col("h.row").alias("top"), F.col("h.m").alias("top_m")), "near-hubs")
+    crowd = crowd.select("key", "row", "m").join(_small(hubs), "key")
 
     # what two sets can share from a key on, as it is the first one they share, against what they must share
-    def can(n: str, at: str, m: str, to: str) -> F.Column:
-        return F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) * (1 + least) >= least * (F.col(n) + F.col(m)) - 1e-6
-
-    ends = [met.where((F.col(f"{e}.row") != F.col("row")) & can("n", "at", f"{e}.n", f"{e}.at")).select(F.least("row", f"{e}.row").alias("a"), F.greatest("row", f"{e}.row").alias("b")) for e in ("lo", "hi")]
-    likely = _likely(stored(ends[0].unionByName(ends[1]).distinct(), "near-ends"), marked, least)
-    links = _alike(likely, _sets(likely, rows, words), least)
-    comp = stored(components(links), "near-groups")
-    # a pair still apart has an end outside the group of its key's first row
-    named = met.join(comp.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    named = named.withColumn("main", F.min(F.struct("row", "component")).over(own)["component"])
-    named = stored(named.where((F.col("row") != F.col("lo.row")) & (F.col("row") != F.col("hi.row"))).select("key", "row", "n", "at", "component", "main"), "near-keys-named")
-    x = named.where("component <> main").select("key", F.col("row").alias("r"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("component").alias("c"))
-    other = (F.col("component") != F.col("c")) & can("n", "at", "m", "to") & ((F.col("component") == F.col("main")) | (F.col("row") < F.col("r")))
+    def can(a: str, b: str) -> F.Column:
+        n, at = (lambda x: F.shiftright(F.col(x), 32)), (lambda x: F.col(x).bitwiseAND(F.lit(0xFFFFFFFF)))
+        return F.least(n(a) - at(a), n(b) - at(b)) * (1 + least) >= least * (n(a) + n(b)) - 1e-6
+
+    ends = [met.where((F.col(e) != F.col("row")) & can("m", f"{e}_m")).select(F.least("row", e).alias("a"), F.greatest("row", e).alias("b")) for e in ("lo", "hi")]
+    ends += [crowd.where((F.col(e) != F.col("row")) & can("m", f"{e}_m")).select(F.least("row", e).alias("a"), F.greatest("row", e).alias("b")) for e in ("hub", "top")]
+    ends = stored(reduce(DataFrame.unionByName, ends).distinct(), "near-ends")
+    apart = _apart(ends, comp)
+    likely = _likely(apart, marked, least)
+    sets = _sets(likely, rows, words)
+    more = _alike(likely, sets, least)
+    old, comp = comp, stored(components(links.unionByName(more)), "near-groups")
+    links = links.unionByName(more)
+    forget(ends, likely, sets, old)
+
+    # keys with four rows or more have pairs that haven't met; one that is still apart has an end outside the group of the key's first row
+    rest = met.where("part < 0 and c > 3 and row <> lo and row <> hi").select("key", "row", "m", "lo")
+    rest = rest.unionByName(crowd.select("key", "row", "m", F.col("hub").alias("lo")))  # of crowded keys any row may have partners in other parts
+    rest = stored(rest, "near-rest")
+    forget(met, hubs)
+
+    def placed() -> DataFrame:
+        of = comp.select(F.col("node").alias("row"), F.col("component").alias("own"))
+        first = comp.select(F.col("node").alias("lo"), F.col("component").alias("main"))
+        j = rest.join(of, "row", "left").join(first, "lo", "left").select("key", "row", "m", F.coalesce("own", "row").alias("own"), F.coalesce("main", "lo").alias("main"))
+        return stored(j, "near-keys-named")
+
+    # rows outside their key's first group meet a few of each other, drawn by one hash for all keys: most groups of them come together
+    # here, before pairs are made
+    for turn in range(ROUNDS):
+        named = placed()
+        u = lambda j: F.struct(F.xxhash64("row", F.lit(turn * HUBS + j)).alias("u"), "row", "m")  # noqa: B023, E731
+        drawn = named.where("own <> main").groupBy("key").agg(F.array(*[F.min(u(j)) for j in range(HUBS)], *[F.max(u(j)) for j in range(HUBS)]).alias("hubs"))
+        outside = named.where("own <> main").join(drawn, "key").select("row", "m", F.explode("hubs").alias("h")).select("row", "m", F.col("h.row").alias("hub"), F.col("h.m").alias("hub_m"))
+        more = stored(outside.where(can("m", "hub_m")).select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct(), "near-more")
+        likely = _likely(more, marked, least)
+        sets = _sets(likely, rows, words)
+        links = links.unionByName(_alike(likely, sets, least))
+        old, comp = comp, stored(components(links), "near-groups")
+        forget(named, more, likely, sets, old)
+    named = placed()
+    forget(rest)
+    x = named.where("own <> main").select("key", F.col("row").alias("r"), F.col("m").alias("to"), F.col("own").alias("g"))
+    other = (F.col("own") != F.col("g")) & can("m", "to") & ((F.col("own") == F.col("main")) | (F.col("row") < F.col("r")))
     open_ = stored(x.join(named, "key").where(other).select(F.least("row", "r").alias("a"), F.greatest("row", "r").alias("b")).distinct(), "open-pairs")
-    open_ = _likely(open_, marked, least)
-    sets = _sets(open_, rows, words)
+    likely = _likely(open_, marked, least)
+    sets = _sets(likely, rows, words)
+    forget(named, open_, marked)
     for lo, hi in ((0, 1), (1, 4), (4, 16)):  # those that a part of the pairs connects need no more comparing
         share = F.pmod(F.xxhash64("a", "b"), F.lit(16))
-        part = stored(_apart(open_.where((share >= lo) & (share < hi)), comp), "open-part")
-        if part.isEmpty():
-            continue
-        links = links.unionByName(_alike(part, sets, least))
-        comp = stored(components(links), "near-groups")
-
-    of = nodes.join(comp, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("group"))
-    grouped = stored(marked.select("row", "digest").join(of, "digest").join(rows.select("row", "doc_id"), "row").select("row", "group", "doc_id"), "near-rows-grouped")
-    first = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("stays"))
-    named = grouped.join(first, "group").select("row", "component_id", (F.col("row") == F.col("stays")).alias("stays"))
-    return rows.join(named, "row").select("doc_id", "component_id", "stays", *[F.col(f"k_{c}").alias(c) for c in keep if c != "doc_id"])
+        part = stored(_apart(likely.where((share >= lo) & (share < hi)), comp), "open-part")
+        if not part.isEmpty():
+            links = links.unionByName(_alike(part, sets, least))
+            old, comp = comp, stored(components(links), "near-groups")
+            forget(old)
+        forget(part)
+    forget(likely, sets)
+
+    # rows that are alone in their group are what they are; only the others travel
+    of = nodes.join(comp, F.col("rep") == F.col("node"), "left").where("rows > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("group"))
+    grouped = stored(of_text.join(of, "digest").select("row", "group", "doc_id"), "near-rows-grouped")
+    best = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("stays"))
+    found = stored(grouped.join(best, "group").select("row", F.col("component_id").alias("least_id"), (F.col("row") == F.col("stays")).alias("first")), "near-found")
+    forget(of_text, nodes, comp, grouped)
+    out = rows.join(_small(found), "row", "left")
+    return out.select("doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("stays"), *[F.col(f"k_{c}").alias(c) for c in keep if c != "doc_id"])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
