@@ -87,13 +87,13 @@ def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mixed(out, 0x94D049BB133111EB)
 
 
-def gathered(parts: Iterator[pa.RecordBatch], rows: int = 1 << 18, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def gathered(parts: Iterator[pa.RecordBatch], rows: int = 1 << 18, most: int = 1 << 21, step: int = 128) -> Iterator[pa.RecordBatch]:
     """The batches joined into larger ones, up to so many rows or bytes."""
     held: list[pa.RecordBatch] = []
     n = size = 0
     for b in parts:
-        for at in range(0, b.num_rows, 128):
-            s = b.slice(at, 128)
+        for at in range(0, b.num_rows, step):
+            s = b.slice(at, step)
             if held and (n + s.num_rows > rows or size + s.nbytes > most):
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, n, size = [], 0, 0
