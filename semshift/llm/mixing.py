@@ -15,6 +15,8 @@ from .common import WORD, one, ranked, stored, table
 
 #: Weights of the sources in code point order, repeating; their share of all sizes; the most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
+#: Places at which the rounding of rates may begin.
+STARTS = 64
 #: Rows of one (source, size) that are dealt together; more are dealt by hash into several such lots.
 LOT = 8192
 
@@ -46,7 +48,7 @@ def _rate(lam: str = "lam") -> Column:
     return F.lit(float(MOST)) / (1 + F.exp(-F.col(lam) * F.col("x")))
 
 
-def solve(hist: DataFrame, goal: DataFrame, steps: int = 40, tolerance: float = 2e-3) -> DataFrame:
+def solve(hist: DataFrame, goal: DataFrame, steps: int = 40, tolerance: float = 1e-9) -> DataFrame:
     """goal with lam, by safeguarded Newton steps; sources whose target is all they can give keep no multiplier but the rate MOST."""
     g = goal.withColumns({"lam": F.lit(0.0), "lo": F.lit(-60.0), "hi": F.lit(60.0)})
     g = stored(g.join(hist.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean")).withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "mix-dual")
@@ -75,20 +77,18 @@ def _tilted(hist: DataFrame, dual: DataFrame) -> DataFrame:
 def copies(hist: DataFrame, dual: DataFrame) -> DataFrame:
     """source, size, n, k: whole copies of each (source, size).
 
-    Systematic rounding in order of size keeps each source within one document of its sum of rates; what then lacks or
-    exceeds the target is made up from the smallest documents on.
+    Systematic rounding of the rates in order of size, so that any run of sizes gets its sum of rates to within one copy.
+    Of STARTS places to begin each source takes the one whose words come nearest its target.
     """
-    by = Window.partitionBy("source").orderBy("size")
-    upto, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     t = _tilted(hist, dual).withColumn("sum", F.round(F.sum(F.col("n") * F.col("rate")).over(upto), 6))
-    t = t.withColumn("k", F.floor(F.col("sum") + 0.5) - F.coalesce(F.floor(F.lag("sum").over(by) + 0.5), F.lit(0)))
-    t = t.withColumn("k", F.least(F.greatest(F.col("k"), F.lit(0)), F.col("n") * MOST))
-    t = t.withColumn("lack", F.round(F.col("target") - F.sum(F.col("k") * F.col("size")).over(Window.partitionBy("source"))).cast("long"))
-    t = t.withColumn("room", F.when(F.col("lack") >= 0, F.col("n") * MOST - F.col("k")).otherwise(F.col("k")))
-    t = t.withColumn("gone", F.coalesce(F.sum(F.col("room") * F.col("size")).over(before), F.lit(0)))
-    more = F.least(F.col("room"), F.floor(F.greatest(F.abs(F.col("lack")) - F.col("gone"), F.lit(0)) / F.greatest(F.col("size"), F.lit(1))))
-    more = F.when(F.col("size") > 0, more).otherwise(0)
-    return t.select("source", "size", "n", (F.col("k") + F.signum(F.col("lack")).cast("long") * more).cast("long").alias("k"))
+    t = stored(t.withColumn("before", F.coalesce(F.lag("sum").over(Window.partitionBy("source").orderBy("size")), F.lit(0.0))).select("source", "size", "n", "sum", "before", "target"), "mix-sums")
+    taken = lambda u: F.floor(F.col("sum") + u) - F.floor(F.col("before") + u)
+    starts = [(j + 0.5) / STARTS for j in range(STARTS)]
+    off = t.groupBy("source").agg(*[F.abs(F.sum(taken(F.lit(u)) * F.col("size")) - F.first("target")).alias(f"u{j}") for j, u in enumerate(starts)])
+    best = off.select(F.col("source").alias("s2"), F.array_min(F.array(*[F.struct(F.col(f"u{j}").alias("off"), F.lit(u).alias("u")) for j, u in enumerate(starts)]))["u"].alias("u"))
+    j = t.join(best, F.col("source").eqNullSafe(F.col("s2")))
+    return j.select("source", "size", "n", F.least(F.greatest(taken(F.col("u")), F.lit(0)), F.col("n") * MOST).cast("long").alias("k"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -97,14 +97,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     A null text has size 0 and is never repeated; a null source is a source of its own, the last. Equal rows are told
     apart by nothing, so copies among them are dealt arbitrarily but in sum alike. Empty tables give no rows.
     """
-    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"k_{c}") for c in keep]), "mix-rows")
+    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(doc_id), F.col(text), F.lit(17)).alias("h"), *[F.col(c).alias(f"k_{c}") for c in keep]), "mix-rows")
     hist = stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     goal = stored(targets(hist, weights, share), "mix-targets")
     kept = stored(copies(hist, solve(hist, goal)), "mix-copies")
     k = kept.select(F.col("source").alias("s2"), F.col("size").alias("z2"), "n", "k")
     r = rows.join(k, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2"))).drop("s2", "z2")
-    h = F.xxhash64(F.col("doc_id"), F.lit(17))
-    r = r.withColumn("h", h).withColumn("lots", F.ceil(F.col("n") / LOT)).withColumn("lot", F.pmod(F.shiftright(F.col("h"), 20), F.col("lots")))
+    r = r.withColumn("lots", F.ceil(F.col("n") / LOT)).withColumn("lot", F.pmod(F.shiftright(F.col("h"), 20), F.col("lots")))
     r = r.repartition("source", "size", "lot")
     lot = Window.partitionBy("source", "size", "lot")
     extra = F.col("k") % F.col("n")
