@@ -45,6 +45,7 @@ class Code:
         self.rotation = np.linalg.qr(rng.standard_normal((width * self.m, width * self.m)))[0][:, :dim]
         c = rng.standard_normal((self.m, self.size, width))
         self.codes = c / np.linalg.norm(c, axis=2, keepdims=True) / math.sqrt(self.m)
+
     def partial(self, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = np.einsum("nmw,mcw->nmc", rotated.reshape(len(rotated), self.m, -1), self.codes)
         return tuple((p[:, i, :, None] + p[:, i + 1, None, :]).reshape(len(p), -1) for i in (0, 2))
@@ -79,7 +80,11 @@ def _usable(v: F.Column) -> F.Column:
     return v.isNotNull() & F.coalesce(good, F.lit(False))
 
 
-def _pairs(least: float, dim: int):
+#: Filters of vectors of the k-th length are numbered from k * SPAN on.
+SPAN = 1 << 44
+
+
+def _pairs(least: float, dims: list[int]):
     """Within each (filter, block pair), rows sorted: vectors of the left block, then of the right one."""
 
     def block(f: int, x: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +115,7 @@ def _pairs(least: float, dim: int):
             rep, n, side = t["rep"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy()
             lists = t["filters"].combine_chunks()
             off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            x = {"side": side, "unit": _units(t["v"].combine_chunks(), dim), "lists": [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]}
+            x = {"side": side, "unit": _units(t["v"].combine_chunks(), dims[at[0] // SPAN]), "lists": [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]}
             i, j = block(at[0], x)
             if not len(i):
                 return
@@ -153,27 +158,33 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing, and so do vectors whose length
-    isn't the most common one's. Equal vectors are one node with a count. Empty tables give no rows.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors of each length have a
+    code of their own and link among themselves. Equal vectors are one node with a count. Empty tables give no rows.
     """
     kind = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast(kind).alias("v"))
     rows = rows.withColumn("v", F.when(_usable(F.col("v")), F.col("v")))
     nodes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes, "cap-nodes")
-    dims = nodes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).orderBy(F.col("c").desc(), "d").head(1)
-    if not dims:
+    found = nodes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).orderBy("d").collect()  # lengths, not vectors
+    if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim, count = dims[0]["d"], dims[0]["c"]
-    code = Code(dim, count)
+    dims, counts = [r["d"] for r in found], {r["d"]: r["c"] for r in found}
 
     def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[int, Code] = {}
         for b in parts:
-            lists = code.decode(_units(b.column(0), dim))
-            f = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * lists.shape[1], pa.int32()), pa.array(lists.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), f], ["v", "rep", "n", "filters"])
-
-    marked = stored(nodes.where(F.size("v") == dim).repartition("rep").mapInArrow(decode, f"v {kind}, rep long, n long, filters array<long>"), "cap-filters")
+            size = np.diff(b.column(0).offsets.to_numpy())
+            for d in np.unique(size):
+                d = int(d)
+                if d not in codes:
+                    codes[d] = Code(d, counts[d])
+                own = b.filter(pa.array(size == d))
+                lists = codes[d].decode(_units(own.column(0), d)) + dims.index(d) * SPAN
+                f = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * lists.shape[1], pa.int32()), pa.array(lists.ravel()))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), f], ["v", "rep", "n", "filters"])
+
+    marked = stored(nodes.repartition("rep").mapInArrow(decode, f"v {kind}, rep long, n long, filters array<long>"), "cap-filters")
     at = marked.select("rep", F.explode("filters").alias("f"))
     sizes = stored(at.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "cap-sizes")
     # a crowded filter is cut into blocks by hash; each pair of blocks is a unit of work of its own
@@ -183,7 +194,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_i
     # of a vector's filters only those below this one are asked for
     work = at.join(marked, "rep").select("f", "l", "r", "side", "rep", "n", "v", F.filter("filters", lambda x: x < F.col("f")).alias("filters"))
     work = work.repartition("f", "l", "r").sortWithinPartitions("f", "l", "r")
-    found = stored(work.mapInArrow(_pairs(least, dim), "rep long, links long, root long"), "cap-links")
+    found = stored(work.mapInArrow(_pairs(least, dims), "rep long, links long, root long"), "cap-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found, "rep", "root")
     of = nodes.join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
