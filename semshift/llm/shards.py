@@ -1,15 +1,13 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups (equal texts).
 
 Best fit decreasing looks at sizes only, so the driver packs a histogram of group sizes: a run of n groups of one size
-enters the tightest bin that still has room, as many at once as fit (after one has entered, that bin is still the
+enters the tightest bin that still has room, found in a balanced tree, as many at once as fit (after one has entered, that bin is still the
 tightest), which gives the very bins that placing them one by one gives. Distinct sizes number at most
 sqrt(2 x total bytes), whatever the number of groups. Groups get their bins by rank, without meeting in one task.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,31 +15,90 @@ from .common import ranked, stored, table
 
 
 class _Bins:
-    """Remaining capacities in order. The order is a sorted list of (room, bin) cut into blocks of bounded length, a two-level balanced tree: look-up, insert and delete stay logarithmic plus a block."""
-
-    BLOCK = 512
+    """Remaining capacities in order: a treap of (room, bin), balanced by hashed priorities, so that put and take cost its depth."""
 
     def __init__(self) -> None:
-        self.blocks: list[list[tuple[int, int]]] = [[]]
+        self.item: list[tuple[int, int]] = []
+        self.rank: list[int] = []
+        self.left: list[int] = []
+        self.right: list[int] = []
+        self.free: list[int] = []
+        self.root = -1
+
+    def _split(self, t: int, item: tuple[int, int]) -> tuple[int, int]:
+        """The tree cut into what is less than the item, and the rest."""
+        low, high, low_end, high_end = -1, -1, -1, -1
+        while t >= 0:
+            if self.item[t] < item:
+                if low_end < 0:
+                    low = t
+                else:
+                    self.right[low_end] = t
+                low_end, t = t, self.right[t]
+            else:
+                if high_end < 0:
+                    high = t
+                else:
+                    self.left[high_end] = t
+                high_end, t = t, self.left[t]
+        if low_end >= 0:
+            self.right[low_end] = -1
+        if high_end >= 0:
+            self.left[high_end] = -1
+        return low, high
+
+    def _merge(self, a: int, b: int) -> int:
+        """One tree of two, all of the first before the second."""
+        root, end, side = -1, -1, self.right
+        while a >= 0 and b >= 0:
+            top = a if self.rank[a] > self.rank[b] else b
+            if end < 0:
+                root = top
+            else:
+                side[end] = top
+            end = top
+            if top == a:
+                side, a = self.right, self.right[a]
+            else:
+                side, b = self.left, self.left[b]
+        rest = a if a >= 0 else b
+        if end < 0:
+            return rest
+        side[end] = rest
+        return root
 
     def put(self, item: tuple[int, int]) -> None:
-        i = min(bisect_left([b[-1] if b else item for b in self.blocks], item), len(self.blocks) - 1)
-        insort(self.blocks[i], item)
-        if len(self.blocks[i]) > 2 * self.BLOCK:
-            b = self.blocks[i]
-            self.blocks[i : i + 1] = [b[: self.BLOCK], b[self.BLOCK :]]
+        t = self.free.pop() if self.free else len(self.item)
+        if t == len(self.item):
+            self.item.append(item)
+            self.rank.append(0)
+            self.left.append(-1)
+            self.right.append(-1)
+        self.item[t], self.left[t], self.right[t] = item, -1, -1
+        self.rank[t] = (item[0] * 0x9E3779B97F4A7C15 + item[1] * 0xBF58476D1CE4E5B9) % (1 << 64) * 0x94D049BB133111EB >> 32 & 0xFFFFFFFF
+        low, high = self._split(self.root, item)
+        self.root = self._merge(self._merge(low, t), high)
 
     def take(self, room: int) -> tuple[int, int] | None:
         """Takes out the tightest bin with at least that room."""
-        lasts = [b[-1] if b else (-1, -1) for b in self.blocks]
-        i = next((k for k, x in enumerate(lasts) if x[0] >= room), None)
-        if i is None:
+        t, above, found, over = self.root, -1, -1, -1
+        while t >= 0:
+            if self.item[t][0] >= room:
+                found, over = t, above
+                above, t = t, self.left[t]
+            else:
+                above, t = t, self.right[t]
+        if found < 0:
             return None
-        b = self.blocks[i]
-        item = b.pop(bisect_left(b, (room, -1)))
-        if not b and len(self.blocks) > 1:
-            self.blocks.pop(i)
-        return item
+        rest = self._merge(self.left[found], self.right[found])
+        if over < 0:
+            self.root = rest
+        elif self.left[over] == found:
+            self.left[over] = rest
+        else:
+            self.right[over] = rest
+        self.free.append(found)
+        return self.item[found]
 
 
 def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, most: int | None = None) -> tuple[list[tuple[int, int, int, int]], int] | None:
