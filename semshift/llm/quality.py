@@ -23,8 +23,8 @@ from .wordgrid import gathered, mixed
 
 #: Documents of each class that are sampled; dimensions of each half of a vector; rows of the tables; hidden units.
 PER_CLASS, DIM, TRIGRAMS, BUCKETS, HIDDEN = 6000, 24, 1 << 14, 1 << 15, 32
-#: Rows of the context table that travel together.
-_PART = 1 << 10
+#: Rows of the context table that travel together; lanes in which the tasks' sums are added up first.
+_PART, LANES = 1 << 10, 64
 
 
 def _index_table(seed: int = 11) -> np.ndarray:
@@ -71,14 +71,14 @@ def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
         sums[own[order][cut]] += np.add.reduceat(near[order], cut, axis=0)
     for k in range(0, BUCKETS, _PART):
-        yield pa.RecordBatch.from_pydict({"part": pa.array([k // _PART], pa.int32()), "sums": pa.array([sums[k : k + _PART].astype("<f4").tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([k // _PART], pa.int32()), "sums": pa.array([sums[k : k + _PART].astype("<f8").tobytes()], pa.binary())})
 
 
 def _added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in parts:
         for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            total[k] = total.get(k, 0.0) + np.frombuffer(s, "<f4").astype(np.float64)
+            total[k] = total.get(k, 0.0) + np.frombuffer(s, "<f8")
     if total:
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "sums": pa.array([v.astype("<f8").tobytes() for v in total.values()], pa.binary())})
 
@@ -86,7 +86,8 @@ def _added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def context_table(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Unit context vectors of the hashed words, over all documents: BUCKETS x DIM numbers, whatever the corpus."""
     t = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    sums = docs.select(t.alias("t")).mapInArrow(_contexts, "part int, sums binary")
+    sums = docs.select(t.alias("t")).mapInArrow(_contexts, "part int, sums binary").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(LANES)))
+    sums = sums.repartition("part", "lane").select("part", "sums").mapInArrow(_added, "part int, sums binary")
     got = sums.repartition("part").mapInArrow(_added, "part int, sums binary").collect()
     c = np.zeros((BUCKETS, DIM))
     for r in got:

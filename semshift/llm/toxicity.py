@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import columns_free, stored, table
 from .labelled import held_out, sample
 from .wordgrid import Grid, gathered
 
@@ -200,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, label
 
 
 def score(docs: DataFrame, ratios: Ratios, curve: tuple, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs and score (0 to 1) for every row. A null text is scored as an empty one."""
+    """The kept columns of docs (by default all; one called __score gets _in at its end) and __score (0 to 1) for every row. A null text is scored as an empty one."""
+    docs = columns_free(docs, "__score")
     mid, wide, weights = curve
     model = docs.sparkSession.sparkContext.broadcast(ratios)  # bounded by the sample
     others = docs.columns if keep is None else keep
