@@ -11,9 +11,9 @@ and searches edited copies of the rows whose id is divisible by 50.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,18 @@ pa.set_memory_pool(pa.system_memory_pool())  # workers give memory back between
 
 #: Images that are drawn or described at once.
 STACK = 64
+#: Pixels for which an image keeps CORNERS corners a scale; larger ones keep more in proportion.
+AREA = 72 * 72
+#: Pixels within which corners of a query are one place, whatever their scales: each place has one vote.
+PLACE = 4.0
+#: Radius of the squares whose sums the tests compare.
+SMOOTH = 1
 #: Scales; corners kept at each; patch radius; binary tests; turns that tests are prepared for.
-SCALES, CORNERS, RADIUS, TESTS, TURNS = (1.0, 0.7), 16, 9, 96, 36
-#: Differing bits of corners that make two images candidates (fewer than the tables, so none is missed), and of corners that vote;
+SCALES, CORNERS, RADIUS, TESTS, TURNS = (1.0, 0.84, 0.7), 16, 9, 96, 72
+#: Differing bits of corners that make two images candidates, if they share a table's value (up to three can't miss it; of five differing
+#: bits spread by chance, 0.98 of corners share one), and of corners that vote;
 #: corners that must agree; sizes of proposals: degrees, octaves, pixels.
-NEAR_BITS, MOST_BITS, LEAST_VOTES, BIN_TURN, BIN_SCALE, BIN_SHIFT = 3, 12, 5, 30.0, 0.6, 8.0
+NEAR_BITS, MOST_BITS, LEAST_VOTES, BIN_TURN, BIN_SCALE, BIN_SHIFT = 5, 14, 6, 20.0, 0.5, 6.0
 
 
 def _tests(seed: int = 23) -> np.ndarray:
@@ -51,18 +58,72 @@ def encode_pgm(pixels: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (pixels.shape[1], pixels.shape[0]) + np.ascontiguousarray(pixels, np.uint8).tobytes()
 
 
-def decode_pnm(raw: bytes | None) -> np.ndarray | None:
-    """Grey pixels of a binary PGM or PPM file with 8-bit samples; None for anything else."""
+#: The head of a binary PGM or PPM file: words between white space and comments, one white space before the samples.
+_PNM = re.compile(rb"(P[56])" + rb"(?:\s|#[^\n]*\n)+(\d+)" * 3 + rb"\s")
+_GREY = np.array([0.299, 0.587, 0.114])
+
+
+def decode_pnm(raw: bytes) -> np.ndarray | None:
+    m = _PNM.match(raw)
+    if m is None:
+        return None
+    w, h, most, c = int(m[2]), int(m[3]), int(m[4]), 3 if m[1] == b"P6" else 1
+    if not 0 < most < 256 or min(w, h) < 1 or w * h * c > len(raw) - m.end():
+        return None
+    p = np.frombuffer(raw, np.uint8, w * h * c, m.end()).reshape(h, w, c) * (255.0 / most)
+    return (p @ _GREY if c == 3 else p[:, :, 0]).astype(np.float32)
+
+
+def decode_png(raw: bytes) -> np.ndarray | None:
+    """Grey pixels of a PNG file with 8-bit samples, without interlacing; transparency is left out of account."""
+    at, data, head, palette = 8, [], None, None
+    while at + 12 <= len(raw):
+        n, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
+        body = raw[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            head = (int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), *body[8:13])
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            data.append(body)
+        at += 12 + n
+    if head is None or head[2] != 8 or head[6] or head[3] not in (0, 2, 3, 4, 6):
+        return None
+    w, h, c = head[0], head[1], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
+    lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(h, 1 + w * c)
+    out = np.zeros((h + 1, w + 1, c), np.uint8)  # a line above and a pixel before, of zeros
+    for y in range(h):
+        f, x = lines[y, 0], lines[y, 1:].reshape(w, c)
+        if f == 0:
+            out[y + 1, 1:] = x
+        elif f == 1:
+            out[y + 1, 1:] = np.cumsum(x, axis=0, dtype=np.uint8)
+        elif f == 2:
+            out[y + 1, 1:] = x + out[y, 1:]
+        else:
+            up, left = out[y].astype(int), np.zeros(c, int)
+            for i in range(w):
+                if f == 3:
+                    guess = (left + up[i + 1]) // 2
+                else:
+                    p = left + up[i + 1] - up[i]
+                    da, db, dc = np.abs(p - left), np.abs(p - up[i + 1]), np.abs(p - up[i])
+                    guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up[i + 1], up[i]))
+                left = (x[i] + guess) & 255
+                out[y + 1, i + 1] = left
+    p = out[1:, 1:].astype(np.float64)
+    if palette is not None and head[3] == 3:
+        p, c = palette[out[1:, 1:, 0]].astype(np.float64), 3
+    return (p[:, :, :3] @ _GREY if c >= 3 else p[:, :, 0]).astype(np.float32)
+
+
+def decode(raw: bytes | None) -> np.ndarray | None:
+    """Grey pixels of a PGM, PPM or PNG file with 8-bit samples; None for null and for anything else."""
     try:
-        kind, width, height, most, rest = raw.split(None, 4) if raw.count(b"\n") >= 3 else (b"", 0, 0, 0, b"")
-        head = len(raw) - len(rest)
-        w, h, c = int(width), int(height), {b"P5": 1, b"P6": 3}[kind]
-        at = raw.index(most, raw.index(height, raw.index(width, 2) + len(width)) + len(height)) + len(most) + 1
-        if int(most) > 255 or w * h * c > len(raw) - at or min(w, h) < 1 or head < 0:
+        if not raw:
             return None
-        p = np.frombuffer(raw, np.uint8, w * h * c, at).reshape(h, w, c)
-        return (p @ np.array([0.299, 0.587, 0.114])).astype(np.float32) if c == 3 else p[:, :, 0].astype(np.float32)
-    except (AttributeError, KeyError, ValueError):
+        return decode_png(raw) if raw.startswith(b"\x89PNG\r\n\x1a\n") else decode_pnm(raw)
+    except (ValueError, IndexError, zlib.error):
         return None
 
 
@@ -111,7 +172,7 @@ def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
                     near = r[:, m + dy : h - m + dy, m + dx : w - m + dx]
                     peak &= (inner > near) if (dy, dx) > (0, 0) else (inner >= near)
         strength = np.where(peak & (inner > 500), inner, 0).reshape(n, -1)
-        k = min(CORNERS, strength.shape[1])
+        k = min(max(CORNERS, CORNERS * stack.shape[1] * stack.shape[2] // AREA), strength.shape[1])
         best = np.argpartition(-strength, k - 1, axis=1)[:, :k]
         i = np.repeat(np.arange(n), k)
         at = best.ravel()
@@ -122,7 +183,7 @@ def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
             continue
         patch = a[i[:, None, None], y[:, None, None] + _Y, x[:, None, None] + _X] * _DISC
         turn = np.degrees(np.arctan2((patch * _Y).sum((1, 2)), (patch * _X).sum((1, 2))))
-        smooth = _box(a, 1)
+        smooth = _box(a, SMOOTH)
         off = _OFFSETS[np.rint(turn / (360 / TURNS)).astype(int) % TURNS]
         v = smooth[i[:, None, None], y[:, None, None] + off[..., 0], x[:, None, None] + off[..., 1]]
         out["image"].append(i)
@@ -141,7 +202,7 @@ def descriptors(images: DataFrame, image_id: str = "image_id", image: str = "ima
         for whole in parts:
             for at in range(0, whole.num_rows, STACK):
                 b = whole.slice(at, STACK)
-                ids, pixels = b.column(0).to_pylist(), [decode_pnm(r) for r in b.column(1).to_pylist()]
+                ids, pixels = b.column(0).to_pylist(), [decode(r) for r in b.column(1).to_pylist()]
                 shapes: dict[tuple, list[int]] = {}
                 for i, p in enumerate(pixels):
                     if p is not None:
@@ -159,9 +220,10 @@ def descriptors(images: DataFrame, image_id: str = "image_id", image: str = "ima
 def copies(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, image_id, votes of descriptor tables: images of the index that a query image is a copy of.
 
-    Two corners within NEAR_BITS share one of the four tables' values, without exception. Images with such a meeting are
-    candidates; only their corners vote, if they share a table's value and differ in MOST_BITS or less. So alike corners of unlike images, of
-    which there are as many as pairs of images, end at the tables unless they are all but equal.
+    Two corners within three bits share one of the four tables' values, without exception. Images with corners that share a
+    value and differ in NEAR_BITS or less are candidates; then all their corners that differ in MOST_BITS or less vote, each
+    place of the query once. So alike corners of unlike images, of which there are as many as pairs of images, end at the tables
+    unless they are nearly equal.
     """
 
     def named(d: DataFrame, p: str) -> DataFrame:
@@ -175,14 +237,13 @@ def copies(queries: DataFrame, index: DataFrame) -> DataFrame:
     q, m = named(queries, "q_"), named(index, "m_")
     bits = sum((F.bit_count(F.col(f"q_b{k}").bitwiseXOR(F.col(f"m_b{k}"))) for k in range(4)), F.lit(0))
     met = stored(keyed(q, "q_").join(keyed(m, "m_"), ["t", "v"]).where(bits <= NEAR_BITS).select("q_image_id", "m_image_id").distinct(), "image-candidates")
-    alike = reduce(or_, (F.col(f"q_b{k}") == F.col(f"m_b{k}") for k in range(4)))
-    j = met.join(q, "q_image_id").join(m, "m_image_id").where(alike & (bits <= MOST_BITS))
+    j = met.join(q, "q_image_id").join(m, "m_image_id").where(bits <= MOST_BITS)
     turn = F.col("q_turn") - F.col("m_turn")
     octave = F.col("m_octave") - F.col("q_octave")
     a, s = F.radians(turn), F.pow(F.lit(2.0), octave)
     dx = F.col("q_x") - s * (F.cos(a) * F.col("m_x") - F.sin(a) * F.col("m_y"))
     dy = F.col("q_y") - s * (F.sin(a) * F.col("m_x") + F.cos(a) * F.col("m_y"))
-    j = j.select("q_image_id", "m_image_id", "q_corner", F.pmod(turn, F.lit(360.0)).alias("turn"), octave.alias("oct"), dx.alias("dx"), dy.alias("dy"))
+    j = j.select("q_image_id", "m_image_id", (F.round(F.col("q_x") / PLACE) * 100003 + F.round(F.col("q_y") / PLACE)).cast("long").alias("q_corner"), F.pmod(turn, F.lit(360.0)).alias("turn"), octave.alias("oct"), dx.alias("dx"), dy.alias("dy"))
     two = lambda c, w, n: F.explode(F.array(F.floor(F.col(c) / w), F.floor(F.col(c) / w + 0.5) + 1000)).alias(n)  # noqa: E731  overlapping bins
     j = j.select("q_image_id", "m_image_id", "q_corner", F.pmod(F.round(F.col("turn") / BIN_TURN), F.lit(360 / BIN_TURN)).alias("kt"), F.round(F.col("oct") / BIN_SCALE).alias("ko"), "dx", "dy")
     j = j.select("*", two("dx", BIN_SHIFT * 2, "kx")).select("*", two("dy", BIN_SHIFT * 2, "ky"))
@@ -206,10 +267,31 @@ def draw(v: np.ndarray, size: int = 72) -> np.ndarray:
     return out
 
 
-def edit(pixels: np.ndarray, kind: int) -> np.ndarray:
-    """A cropped copy (0), a cropped, darker one (1), or one turned by a quarter (2)."""
-    p = np.rot90(pixels) if kind == 2 else pixels[5:67, 6:68]
-    return np.clip(p * 0.8 + 15, 0, 255) if kind == 1 else p
+#: What `edit` can do.
+EDITS = ("cropped", "cropped and darker", "turned by a quarter", "smaller by a fifth", "larger by a quarter", "turned by 15 degrees", "noisy")
+
+
+def edit(pixels: np.ndarray, kind: int, seed: int = 0) -> np.ndarray:
+    """An edited copy, by the number of the edit in EDITS."""
+    p = pixels
+    if kind in (0, 1):
+        p = p[5:67, 6:68]
+        p = np.clip(p * 0.8 + 15, 0, 255) if kind == 1 else p
+    elif kind == 2:
+        p = np.rot90(p)
+    elif kind in (3, 4):
+        p = _resized(p[None], 0.8 if kind == 3 else 1.25)[0]
+    elif kind == 5:
+        h, w = p.shape
+        a, cy, cx = np.radians(15.0), (h - 1) / 2, (w - 1) / 2
+        y, x = np.mgrid[0:h, 0:w]
+        y, x = cy + (y - cy) * np.cos(a) - (x - cx) * np.sin(a), cx + (y - cy) * np.sin(a) + (x - cx) * np.cos(a)
+        y0, x0 = np.clip(np.floor(y).astype(int), 0, h - 2), np.clip(np.floor(x).astype(int), 0, w - 2)
+        fy, fx = np.clip(y - y0, 0, 1), np.clip(x - x0, 0, 1)
+        p = (p[y0, x0] * (1 - fx) + p[y0, x0 + 1] * fx) * (1 - fy) + (p[y0 + 1, x0] * (1 - fx) + p[y0 + 1, x0 + 1] * fx) * fy
+    elif kind == 6:
+        p = np.clip(p + 4 * np.random.default_rng(seed).standard_normal(p.shape), 0, 255)
+    return p
 
 
 def drawn(vectors: DataFrame, edited: bool, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -227,7 +309,7 @@ def drawn(vectors: DataFrame, edited: bool, vec_id: str = "vec_id", embedding: s
                         by.setdefault(len(v), []).append(i)
                 for rows in by.values():
                     for i, p in zip(rows, draw(np.array([vs[i] for i in rows], np.float64)), strict=True):
-                        out[i] = encode_pgm(edit(p, (ids[i] or 0) // 50 % 3) if edited else p)
+                        out[i] = encode_pgm(np.rint(edit(p, (ids[i] or 0) // 50 % len(EDITS), abs(ids[i] or 0))) if edited else p)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["image_id", "image"])
 
     return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).mapInArrow(run, "image_id long, image binary")
