@@ -189,8 +189,10 @@ def test_near_copies_from_the_threshold_on(spark):
     assert [got[i] for i in range(len(texts))] == brute_near(texts)
 
 
-def test_near_copies_of_a_crowd(spark):
-    """Hundreds of texts of one template, most under 0.8 of each other, whose near copies stand far from them in order of id."""
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 50])
+def test_near_copies_of_a_crowd(spark, monkeypatch, crowd):
+    """Hundreds of texts of one template, most under 0.8 of each other, whose near copies stand far from them in order of id; with crowded keys whole and dealt in parts."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(8)
     texts, n = [], 400
     for i in range(n):
@@ -236,6 +238,37 @@ def test_substring(spark, odd):
     assert substring.remove_repeats(odd.limit(0), 13).count() == 0
 
 
+@pytest.mark.parametrize(("group", "batch"), [(4, 1 << 20), (4, 600), (1 << 13, 600), (1 << 13, 200)])
+def test_substring_of_crowded_prefixes(spark, monkeypatch, group, batch):
+    """Prefixes dealt in parts, and groups that come in many batches, find what whole ones find: hot passages, templates, clashing names, a document on both sides."""
+    monkeypatch.setattr(substring, "GROUP", group)
+    monkeypatch.setattr(substring, "BATCH", batch)
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(30)]
+    docs = []
+    for d in range(120):
+        w = [f"d{d}w{i}" for i in range(rng.integers(0, 12))] + passage[rng.integers(0, 8) :][: rng.integers(10, 30)]
+        if d % 3 == 0:
+            w += ["x", str(d % 5)] + passage[5:20]
+        docs.append((int(rng.integers(0, 100)) if d % 10 == 0 else 1000 - d, " ".join(w), d))
+    df = spark.createDataFrame(docs, "doc_id long, text string, __Words long")
+    got = Counter((r.doc_id, bytes(r["__kept"]), r["__Words_in"]) for r in substring.remove_repeats(df, 13).collect())
+    first = {}
+    for d, t, _ in docs:
+        w = words(t)
+        for i in range(len(w) - 12):
+            k = tuple(w[i : i + 13])
+            first[k] = min(first.get(k, d), d)
+    for d, t, k in docs:
+        w, gone = words(t), set()
+        for i in range(len(w) - 12):
+            if first[tuple(w[i : i + 13])] < d:
+                gone |= set(range(i, i + 13))
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone) if gone else t.encode()
+        assert got[(d, kept, k)] == 1
+    assert len(got) == len(docs)
+
+
 def test_pieces(spark, odd):
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
@@ -305,6 +338,29 @@ def test_images(spark):
     assert got[(0, 0)].copies == 2
 
 
+def test_images_by_edit(spark):
+    """Copies that are cropped, darker, turned by a quarter or noisy are found; most of those that are rescaled or turned otherwise; few others."""
+    rng = np.random.default_rng(16)
+    v = rng.standard_normal((140, 64))
+    vec = spark.createDataFrame([(50 * i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.image_id) for r in images.find_copies(images.drawn(vec, True), images.drawn(vec, False)).collect()}
+    found = {k: np.mean([(i, i) in got for i in range(0, 7000, 50) if i // 50 % 7 == k]) for k in range(7)}
+    assert all(found[k] >= 0.95 for k in (0, 1, 2, 6)) and found[4] >= 0.7 and found[3] >= 0.4 and found[5] >= 0.4, found
+    assert sum(q != i for q, i in got) <= 14
+
+
+def test_long_and_repeated_images(spark):
+    """A large image keeps more corners; repeated images are one class with their number; a crop of a quarter of a large one is found."""
+    rng = np.random.default_rng(17)
+    small = images.draw(rng.standard_normal((9, 64)) / 8)
+    large = np.block([[small[3 * y + x] for x in range(3)] for y in range(3)])
+    rows = [(i, bytearray(images.encode_pgm(p))) for i, p in enumerate([large, large, *small[:2], np.full((300, 300), 9.0)])]
+    crop = images.encode_pgm(large[50:160, 60:170])
+    schema = "image_id long, image binary"
+    got = {(r.query_id, r.image_id): r.copies for r in images.find_copies(spark.createDataFrame([(70, bytearray(crop)), (71, bytearray(crop))], schema), spark.createDataFrame(rows, schema)).collect()}
+    assert got[(70, 0)] == got[(71, 0)] == 2 and (70, 4) not in got
+
+
 def test_held_out_matches_python(spark):
     from semshift.llm.labelled import held_out
 
