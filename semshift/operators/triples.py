@@ -202,6 +202,6 @@ SQL = {
     "sparql_union": "SELECT 'word' AS kind, form AS label FROM word WHERE form LIKE 'W1%' UNION ALL SELECT 'trigger', label FROM trig",
     "sparql_minus": f"SELECT '{_R}event-' || event_id AS e FROM event WHERE type = '1-URGENT' AND drift_year IS NULL",
     "sparql_not_exists": f"SELECT '{_R}hyp-' || event_id || '-' || trigger_id AS h, CAST(confidence AS VARCHAR) AS confidence FROM hyp WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.event_id = hyp.event_id AND ev.trigger_id = hyp.trigger_id AND evidence <> 'Speculative')",
-    "sparql_group_having": "SELECT form, CAST(count(DISTINCT trigger_id) AS VARCHAR) AS triggers, CAST(max(confidence) AS VARCHAR) AS most, string_agg(DISTINCT type, ' ' ORDER BY type) AS kinds FROM hyp JOIN event USING (event_id) JOIN word USING (word_id) GROUP BY form HAVING count(DISTINCT trigger_id) > 20",
+    "sparql_group_having": "SELECT form, CAST(count(DISTINCT trigger_id) AS VARCHAR) AS triggers, CAST(max(confidence) AS VARCHAR) AS most, string_agg(DISTINCT type, ' ' ORDER BY type) AS kinds FROM hyp JOIN event USING (event_id) JOIN word USING (word_id) GROUP BY form, lang HAVING count(DISTINCT trigger_id) > 20",
     "sparql_values": "SELECT label AS name, CAST(count(*) AS VARCHAR) AS n FROM hyp JOIN trig USING (trigger_id) WHERE label IN ('Supplier#000000001', 'Supplier#000000002') GROUP BY label",
 }
