@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, codes, images, mixing, pieces, quality, records, shards, simhash, substring, toxicity
+from . import caps, codes, images, middle, mixing, pieces, quality, records, shards, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": quality.op9_quality,
         "op10_caps": caps.op10_caps,
         "op12_codes": codes.op12_codes,
+        "op13_middle": middle.op13_middle,
     }
 
 
