@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, codes, images, middle, mixing, pieces, quality, records, shards, simhash, substring, toxicity
+from . import caps, codes, images, middle, mixing, pieces, private, quality, records, shards, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality": quality.op9_quality,
         "op10_caps": caps.op10_caps,
+        "op11_private": private.op11_private,
         "op12_codes": codes.op12_codes,
         "op13_middle": middle.op13_middle,
     }
