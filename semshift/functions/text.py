@@ -37,8 +37,9 @@ def rank_in(value: Column, order: tuple[str, ...]) -> Column:
 
 
 def parse_year(text: Column) -> Column:
-    """An integer after any leading plus signs; null for anything else."""
-    return F.ltrim(text, F.lit("+")).try_cast("int")
+    """An integer after any leading plus signs; null for anything else. Texts that aren't digits never reach the cast, whose failures are slow."""
+    bare = F.ltrim(text, F.lit("+"))
+    return F.when(bare.rlike(r"^\s*[+-]?[0-9]+\s*$"), bare.try_cast("int"))
 
 
 def decade(year: Column) -> Column:

@@ -93,10 +93,13 @@ class Entities:
 
         One aggregation of line items serves confidence and evidence alike.
         """
-        flag = _mapped(F.concat("l_returnflag", "l_linestatus"), FLAGS, "Other")
+        keys = sorted([x for _, x in FLAGS] + ["Other"])
+        flag = _mapped(F.concat("l_returnflag", "l_linestatus"), [(a, 1 << keys.index(x)) for a, x in FLAGS], 1 << keys.index("Other"))
         g = self.read("lineitem").groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("trigger_id"))
-        g = g.agg(F.round(F.max("l_discount") * 10, 6).alias("confidence"), F.array_sort(F.collect_set(flag)).alias("evidence"))
-        return g.select(F.concat_ws("-", "event_id", "trigger_id").alias("hyp_id"), "event_id", "trigger_id", "confidence", "evidence", F.col("evidence").alias("evidence_en"))
+        # kinds of evidence are bits, so that the aggregation stays in generated code; names come last
+        g = g.agg(F.round(F.max("l_discount") * 10, 6).alias("confidence"), F.bit_or(flag).alias("kinds"))
+        evidence = F.array_compact(F.array(*[F.when(F.col("kinds").bitwiseAND(1 << i) != 0, F.lit(x)) for i, x in enumerate(keys)]))
+        return g.select(F.concat_ws("-", "event_id", "trigger_id").alias("hyp_id"), "event_id", "trigger_id", "confidence", evidence.alias("evidence"), evidence.alias("evidence_en"))
 
     @cached_property
     def pair(self) -> DataFrame:
@@ -173,37 +176,36 @@ class Entities:
 
     @cached_property
     def triples(self) -> DataFrame:
-        """The same as triples (s, p, o, kind, lang, datatype): words, events, triggers, hypotheses and their concepts."""
-        r = lambda kind, c: F.concat(F.lit(RESOURCE + kind), F.col(c).cast("string") if isinstance(c, str) else c)
-        lit = lambda c, lang=None, kind=XSD + "string": (c.cast("string"), F.lit("literal"), lang if lang is not None else F.lit(None).cast("string"), F.lit(kind if lang is None else LANG))
-        iri = lambda c: (c, F.lit("iri"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-        a = lambda kind: (F.lit(TYPE), *iri(F.lit(VOCAB + kind)))
-
-        def rows(df: DataFrame, s, *said) -> DataFrame:
-            t = F.explode(F.array(*[F.struct(p.alias("p") if not isinstance(p, str) else F.lit(VOCAB + p).alias("p"), o.alias("o"), k.alias("kind"), l.alias("lang"), d.alias("datatype")) for p, o, k, l, d in said]))
-            return df.select(s.alias("s"), t.alias("t")).where("t.o is not null").select("s", "t.*")
-
-        en = F.lit("en")
-        year = XSD + "gYear"
-        w = self.word
-        e = self.event.join(self.event_type, "event_id")
-        slug = lambda c: F.regexp_replace(F.col(c), "[^A-Za-z0-9]", "")
-        h = self.claim
+        """Words, events, triggers, hypotheses, their senses' ids aside, and their concepts as triples (s, p, o, kind, lang, datatype).
+
+        A branch for each predicate, which stands there as a constant: a filter on predicates leaves only the branches that pass it.
+        """
+        text = lambda o, kind="string": (f"CAST({o} AS STRING)", "'literal'", "CAST(NULL AS STRING)", f"'{XSD}{kind}'")
+        said = lambda o, lang: (o, "'literal'", lang, f"'{LANG}'")
+        iri = lambda o: (o, "'iri'", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
+        a = lambda kind: (TYPE, *iri(f"'{VOCAB}{kind}'"))
+        r = lambda kind, c: f"concat('{RESOURCE}{kind}', {c})"
+        slug = lambda c: f"regexp_replace({c}, '[^A-Za-z0-9]', '')"
+        concept, event, trigger, hyp = (TYPE, *iri(f"'{CONCEPT}'")), r("event-", "event_id"), r("trigger-", "trigger_id"), r("hyp-", "hyp_id")
         parts = [
-            rows(w, r("word-", "word_id"), a("Word"), ("writtenForm", *lit(F.col("written"), F.col("lang"))), ("language", *lit(F.col("lang")))),
-            rows(e, r("event-", "event_id"), a("DriftEvent"), ("affectsWord", *iri(r("word-", "word_id"))), ("driftType", *iri(r("type-", slug("type_id")))), ("driftYear", *lit(F.col("drift_year"), kind=year)),
-                 ("driftInterval", *iri(F.when(F.col("drift_year").isNull() & (F.col("event_id") % 2 == 0), r("interval-", "event_id"))))),
-            rows(self.trigger, r("trigger-", "trigger_id"), a("TriggerEvent"), (F.lit(LABEL), *lit(F.col("label_en"), en)), ("eventDate", *lit(F.col("date"), kind=year)), ("triggerCategory", *iri(r("category-", slug("category"))))),
-            rows(h, r("hyp-", "hyp_id"), a("CausalHypothesis"), ("aboutDrift", *iri(r("event-", "event_id"))), ("proposedTrigger", *iri(r("trigger-", "trigger_id"))), ("confidence", *lit(F.col("confidence"), kind=XSD + "decimal"))),
-            rows(h.select("hyp_id", F.explode("evidence").alias("x")), r("hyp-", "hyp_id"), ("evidenceType", *iri(r("evidence/", "x")))),
-            rows(self.drift_type, r("type-", slug("id")), (F.lit(TYPE), *iri(F.lit(CONCEPT))), (F.lit(PREF), *lit(F.col("label"), en))),
-            rows(self.trigger.select("category").where("category <> 'AFRICA'").distinct(), r("category-", slug("category")), (F.lit(TYPE), *iri(F.lit(CONCEPT))), (F.lit(PREF), *lit(F.col("category"), en))),
-            rows(self.evidence_type, r("evidence/", "label"), (F.lit(TYPE), *iri(F.lit(CONCEPT))), (F.lit(PREF), *lit(F.col("label"), en))),
+            ("word", r("word-", "word_id"), [a("Word"), ("writtenForm", *said("written", "lang")), ("language", *text("lang"))]),
+            ("event", event, [a("DriftEvent"), ("affectsWord", *iri(r("word-", "word_id"))), ("driftYear", *text("drift_year", "gYear")), ("driftInterval", *iri(f"CASE WHEN drift_year IS NULL AND event_id % 2 = 0 THEN {r('interval-', 'event_id')} END"))]),
+            ("event_type", event, [("driftType", *iri(r("type-", slug("type_id"))))]),
+            ("trigger", trigger, [a("TriggerEvent"), (LABEL, *said("label_en", "'en'")), ("eventDate", *text("date", "gYear")), ("triggerCategory", *iri(r("category-", slug("category"))))]),
+            ("claim", hyp, [a("CausalHypothesis"), ("aboutDrift", *iri(event)), ("proposedTrigger", *iri(trigger)), ("confidence", *text("confidence", "decimal"))]),
+            ("(SELECT hyp_id, explode(evidence) AS x FROM {claim})", hyp, [("evidenceType", *iri(r("evidence/", "x")))]),
+            ("drift_type", r("type-", slug("id")), [concept, (PREF, *said("label", "'en'"))]),
+            ("(SELECT DISTINCT category FROM {trigger} WHERE category <> 'AFRICA')", r("category-", slug("category")), [concept, (PREF, *said("category", "'en'"))]),
+            ("evidence_type", r("evidence/", "label"), [concept, (PREF, *said("label", "'en'"))]),
         ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        branches = []
+        for source, s, facts in parts:
+            for p, o, kind, lang, datatype in facts:
+                found = source if source.startswith("(") else f"{{{source}}}"
+                name = p if ":" in p else VOCAB + p
+                branches.append(f"SELECT {s} AS s, '{name}' AS p, {o} AS o, {kind} AS kind, {lang} AS lang, {datatype} AS datatype FROM {found} WHERE {o} IS NOT NULL")
+        tables = {n: getattr(self, n) for n in ("word", "event", "event_type", "trigger", "claim", "drift_type", "evidence_type")}
+        return self.spark.sql(" UNION ALL ".join(branches), **tables)
 
 
 #: The same tables as common table expressions; a query's SQL follows.

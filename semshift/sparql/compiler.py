@@ -4,6 +4,11 @@ A solution is a row with a column for each variable: a struct of kind ('iri', 'b
 null where the variable is unbound. Patterns become selections, joins on shared variables, outer and anti joins, so Catalyst plans them;
 errors in expressions are nulls, and a null filter drops its row, as SPARQL has it. No Python runs on the data.
 
+EXISTS is evaluated for each distinct set of outer bindings at once: what it mentions of them goes into its group as a table of
+bindings, which every nested group joins as well, so their filters see outer variables; what comes out is joined back. Patterns that
+share no variable are joined by filters between them: equality gives keys, ranges give intervals; one-sided comparisons within
+EXISTS need no more than the extremes.
+
 Literals are compared by value and language whatever their data types (numbers as numbers); with strict=True, literals of
 data types that SPARQL has no equality for make `=` and `!=` errors unless they are the same term.
 """
@@ -16,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .linking import band_join, bounds, conjuncts, has_exists, linked, variables
 from .parser import RDF, XSD, Query, SparqlError, parse
 
 #: The data types of numbers, of whole numbers.
@@ -68,6 +74,13 @@ def _shown(number: Column) -> Column:
     return F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("long").cast("string")).otherwise(number.cast("string"))
 
 
+def _part(text: Column, start: Column, length: Column | None = None) -> Column:
+    """Characters from start on (the first one is 1) and before start + length, those of them that there are."""
+    first = F.greatest(start, F.lit(1))
+    rest = F.substr(text, first)
+    return rest if length is None else F.when(start + length > first, F.substr(text, first, start + length - first)).when(text.isNotNull() & start.isNotNull() & length.isNotNull(), "")
+
+
 def _order(t: Column) -> Column:
     """A key that sorts terms: unbound (null), blank nodes, IRIs, literals; numbers by value."""
     rank = F.when(t["kind"] == "blank", 0).when(t["kind"] == "iri", 1).otherwise(2)
@@ -203,45 +216,105 @@ class Compiler:
 
     # joins
 
-    def join(self, a: Rows, b: Rows, how: str = "inner", condition=None) -> Rows:
-        """On what both bind. A variable that may be unbound agrees with anything where it is; some variable must be sure on both sides."""
+    def join(self, a: Rows, b: Rows, how: str = "inner", tests: list | tuple = (), fixed: frozenset[str] = frozenset()) -> Rows:
+        """On what both bind. A variable that may be unbound agrees with anything where it is. Where no variable is sure on both
+        sides, filters between them (tests) make keys or intervals. Tests are conditions of a left, semi or anti join; of an inner
+        one they are filters that come later. MINUS doesn't look at `fixed` variables, which stand for constants."""
         shared = [n for n in b.names if n in a.names]
         keys = [n for n in shared if n in a.sure and n in b.sure]
-        if not keys and how != "minus" and not self.products and not (not a.names or not b.names):
-            raise SparqlError(f"a product of patterns: {sorted(a.names)} and {sorted(b.names)} share no variable that is always bound")
         right = b.df.select(*[F.col(f"`{n}`").alias(f"__r_{n}") for n in b.names], *([] if b.names else [F.lit(1).alias("__r_one")]))
         r = {n: F.col(f"`__r_{n}`") for n in b.names}
         l = {n: F.col(f"`{n}`") for n in a.names}
         on = [l[n] == r[n] if n in keys else l[n].isNull() | r[n].isNull() | (l[n] == r[n]) for n in shared]
+        j = None
+        if not keys and how != "minus" and a.names and b.names:
+            ties = self.ties(a, b, tests, l, r)
+            on += ties
+            if not ties and how == "inner":
+                j = self.banded(a, b, tests, l, r, right)
+            if not ties and j is None and not self.products:
+                raise SparqlError(f"a product of patterns: {sorted(a.names)} and {sorted(b.names)} share no variable that is always bound, and no filter says that numbers of one side equal or lie between those of the other")
         if how == "minus":  # what shares no bound variable takes nothing away
-            if not shared:
+            free = [n for n in shared if n not in fixed]
+            if not free:
                 return a
-            if not keys:
-                on.append(reduce(lambda x, y: x | y, [l[n].isNotNull() & r[n].isNotNull() for n in shared]))
-        if condition is not None:
-            on.append(F.coalesce(condition({**r, **l}), F.lit(False)))
+            if not any(n in keys for n in free):
+                on.append(reduce(lambda x, y: x | y, [l[n].isNotNull() & r[n].isNotNull() for n in free]))
+        if how in ("left", "left_semi", "left_anti") and tests:
+            on.append(F.coalesce(self.all(tests, {**r, **l}), F.lit(False)))
         test = reduce(lambda x, y: x & y, on) if on else F.lit(True)
         if how in ("minus", "left_anti", "left_semi"):
             return Rows(a.df.join(right, test, "left_semi" if how == "left_semi" else "left_anti"), a.names, a.sure)
-        j = a.df.join(right, test, "left" if how == "left" else "inner")
+        j = a.df.join(right, test, "left" if how == "left" else "inner") if j is None else j.where(test)
         cols = [(l[n] if n not in shared or n in a.sure else F.coalesce(l[n], r[n])).alias(n) for n in a.names]
         cols += [r[n].alias(n) for n in b.names if n not in shared]
         names = (*a.names, *[n for n in b.names if n not in shared])
         return Rows(j.select(*cols or [F.lit(1).alias("__one")]), names, a.sure if how == "left" else a.sure | b.sure)
 
-    def bgp(self, patterns: list, seed: Rows | None) -> Rows | None:
-        """Patterns in an order that keeps them connected, those with most constants first."""
+    def ties(self, a: Rows, b: Rows, tests, l: dict, r: dict) -> list[Column]:
+        """Keys from equality filters between the two: terms that are equal have equal keys."""
+
+        def key(v: Value) -> Column:
+            number = v.col.cast("double") if v.kind in ("int", "num") else v.text().try_cast("double")
+            return F.coalesce((number + 0.0).cast("string"), v.text())
+
+        out = []
+        for e in [c for t in tests for c in conjuncts(t)]:
+            found = linked(e, set(a.sure), set(b.sure))
+            if found and found[0] == "=":
+                x, y = self.value(found[1], l), self.value(found[2], r)
+                if "bool" not in (x.kind, y.kind):
+                    out.append(key(x) == key(y))
+        return out
+
+    def banded(self, a: Rows, b: Rows, tests, l: dict, r: dict, right: DataFrame) -> DataFrame | None:
+        """A join by filters that hold numbers of one side between two of the other one, if there are such."""
+        parts = [c for t in tests for c in conjuncts(t)]
+        for points, others, pc, oc in ((a, b, l, r), (b, a, r, l)):
+            found: dict = {}
+            for e in parts:
+                both = {**l, **r}
+                if not any(self.value(x, both).kind in ("int", "num") for x in (e[2] if e[0] == "op" and len(e[2]) == 2 and variables(e) <= set(both) else ())):
+                    continue  # only a comparison that is of numbers whatever the terms are
+                for x in bounds(e, set(points.sure), set(others.sure)):
+                    found.setdefault(_frozen(x.of), {}).setdefault(x.upper, x)
+            for pair in found.values():
+                if len(pair) == 2 and any(variables(x.value) for x in pair.values()):
+                    number = lambda e, cols: self.value(e, cols).num().cast("double")
+                    at, low, high = number(pair[True].of, pc), number(pair[False].value, oc), number(pair[True].value, oc)
+                    return band_join(a.df, at, right, low, high) if points is a else band_join(right, at, a.df, low, high)
+        return None
+
+    def bgp(self, patterns: list, seed: Rows | None, tests: list | tuple = ()) -> Rows | None:
+        """Patterns in an order that keeps them connected, those with most constants first; parts without a common variable are joined by filters."""
         left, rows = list(patterns), seed
         weight = lambda t: sum(x[0] == "term" for x in (t[1], t[3])) * 2 + (t[2][0] == "iri")
+        uses = lambda t: {x[1] for x in (t[1], t[2], t[3]) if x[0] == "var"}
         while left:
-            known = set(rows.names) if rows else set()
-            sure = rows.sure if rows else frozenset()
-            uses = lambda t: {x[1] for x in (t[1], t[2], t[3]) if x[0] == "var"}
-            open_ = [t for t in left if not known or uses(t) & sure or not uses(t)] or left
-            t = max(open_, key=weight)
-            left.remove(t)
-            one = self.triple(*t[1:])
-            rows = one if rows is None else self.join(rows, one) if one.names else Rows(rows.df.join(one.df.limit(1), how="left_semi"), rows.names, rows.sure)
+            known, sure = (set(rows.names), rows.sure) if rows else (set(), frozenset())
+            open_ = [t for t in left if not known or uses(t) & sure or not uses(t)]
+            if open_:
+                t = max(open_, key=weight)
+                left.remove(t)
+                one = self.triple(*t[1:])
+                rows = one if rows is None else self.join(rows, one) if one.names else Rows(rows.df.join(one.df.limit(1), how="left_semi"), rows.names, rows.sure)
+                continue
+            failed, rest = None, list(left)
+            while rest:
+                part, names = [rest[0]], uses(rest[0])
+                while grown := [t for t in rest if t not in part and uses(t) & names]:
+                    part += grown
+                    names = names.union(*map(uses, grown))
+                rest = [t for t in rest if t not in part]
+                try:
+                    rows = self.join(rows, self.bgp(part, None, tests), "inner", tests)
+                except SparqlError as e:
+                    failed = e
+                    continue
+                left = [t for t in left if t not in part]
+                break
+            else:
+                raise failed
         return rows
 
     # groups
@@ -249,40 +322,66 @@ class Compiler:
     def empty(self) -> Rows:
         return Rows(self.spark.range(1).select(F.lit(1).alias("__one")), (), frozenset())
 
-    def group(self, patterns: list) -> Rows:
+    def group(self, patterns: list, given: Rows | None = None, final: bool = False) -> Rows:
+        """A group's solutions; with `given`, outer bindings, those that agree with one of them, joined to it. If `final`, only which
+        of the given bindings have a solution matters."""
         rows: Rows | None = None
-        filters, triples = [], []
+        open_ = given is not None
+        outer = set(given.names) if open_ else set()
+        later = [x[1] for x in patterns if x[0] == "filter"]
+        tests = [c for e in later for c in conjuncts(e) if not has_exists(c)]
+        triples: list = []
+        alone = len(patterns) == 1
 
         def flush() -> None:
             nonlocal rows
             if triples:
-                rows = self.bgp(triples, rows)
+                rows = self.bgp(triples, rows, tests)
                 triples.clear()
 
+        def attach(last: bool = False) -> None:
+            nonlocal rows, open_
+            if open_:
+                (rows, done), open_ = self.attached(given, rows, tests, last), False
+                if done:
+                    later.clear()
+
         def add(other: Rows) -> None:
             nonlocal rows
-            rows = other if rows is None or not rows.names else self.join(rows, other)
+            rows = other if rows is None or not rows.names else self.join(rows, other, "inner", tests)
+
+        def inside(body, last: bool = False) -> Rows:
+            """A nested group: it takes the bindings in if it mentions them."""
+            nonlocal open_
+            if not outer & variables(body):
+                return self.group(body)
+            if not (rows is None and last):
+                attach()
+            return self.group(body, given, last)
 
         for x in patterns:
             if x[0] == "triple":
                 triples.append(x)
                 continue
             if x[0] == "filter":
-                filters.append(x[1])
                 continue
             flush()
             if x[0] == "optional":
-                body, tests = self.split(x[1])
-                inner = self.group(body)
+                body, own = self.split(x[1])
+                if outer & variables(x[1]):
+                    attach()
+                inner = inside(body)
                 if rows is None:
                     rows = self.empty()
                 if rows.names or inner.names:
-                    test = (lambda cols, tests=tests: self.all(tests, cols)) if tests else None
-                    rows = self.join(rows, inner, "left", test)
+                    rows = self.join(rows, inner, "left", own)
             elif x[0] == "minus":
                 if rows is not None:
-                    rows = self.join(rows, self.group(x[1]), "minus")
+                    inner = inside(x[1])
+                    rows = self.join(rows, inner, "minus", fixed=frozenset(outer))
             elif x[0] == "bind":
+                if outer & variables(x[1]):
+                    attach()
                 rows = rows or self.empty()
                 if x[2] in rows.names:
                     raise SparqlError(f"?{x[2]} is bound already")
@@ -290,23 +389,66 @@ class Compiler:
                 rows = Rows(rows.df.withColumn(x[2], v), (*rows.names, x[2]), rows.sure)
             elif x[0] == "values":
                 add(self.inline(x[1], x[2]))
-            elif x[0] == "union":
-                add(self.union([self.group(g) for g in x[1]]))
-            elif x[0] == "group":
-                add(self.group(x[1]))
+            elif x[0] in ("union", "group"):
+                branches = x[1] if x[0] == "union" else [x[1]]
+                if outer & variables(branches):
+                    if not alone:
+                        attach()
+                    parts = [self.group(g, given, final and alone) for g in branches]
+                    open_ = False
+                else:
+                    parts = [self.group(g) for g in branches]
+                add(self.union(parts) if len(parts) > 1 else parts[0])
             elif x[0] == "select":
                 add(self.select(x[1]))
         flush()
+        attach(final and not any(has_exists(e) for e in later))
         rows = rows or self.empty()
-        for e in filters:
+        for e in later:
             rows = self.filtered(rows, e)
         return rows
 
+    def attached(self, given: Rows, rows: Rows | None, tests: list, last: bool) -> tuple[Rows, bool]:
+        """Outer bindings joined with a group's solutions, on shared variables or else by filters between them; and whether all filters are settled."""
+        if rows is None:
+            return given, False
+        free = [n for n in rows.names if n in given.names]
+        outer = set(given.names) - set(rows.names)
+        parts = [c for c in tests if variables(c) & outer and variables(c) & set(rows.names)]
+        if last and not free and len(parts) <= 1:
+            one = linked(parts[0], set(given.names), set(rows.names)) if parts else None
+            if not parts or one and one[0] != "=":
+                for c in tests:
+                    if not variables(c) & outer:
+                        rows = self.filtered(rows, c)
+                    elif c not in parts:
+                        given = self.filtered(given, c)
+                if one:
+                    return self.beyond_extremes(given, rows, parts[0], *one), True
+                # nothing links them: the group has a solution or it hasn't
+                return Rows(given.df.join(rows.df.select(F.lit(1).alias("__any")).limit(1), how="left_semi"), given.names, given.sure), True
+        return self.join(given, rows, "inner", tests), False
+
+    def beyond_extremes(self, given: Rows, rows: Rows, test: tuple, sign: str, own: tuple, e: tuple) -> Rows:
+        """The given bindings for which some solution passes a one-sided comparison: if any does, one with the largest (or least)
+        number or text does, or the largest text of its data type."""
+        v = self.value(e, self.columns(rows))
+        most = F.max_by if sign in ("<", "<=") else F.min_by
+        kept = F.struct(*[F.col(f"`{n}`").alias(f"{n}") for n in rows.names if n in variables(e)])
+        d = rows.df.select(kept.alias("__w"), v.num().cast("double").alias("__n"), v.text().alias("__t"), v.term()["datatype"].alias("__d"))
+        one = d.agg(most("__w", F.when(F.col("__n").isNotNull(), F.col("__n"))).alias("__a"), most("__w", "__t").alias("__b"))  # one row
+        by = d.where("__t is not null").groupBy("__d").agg(most("__w", "__t").alias("__c"))
+        cols = self.columns(given)
+        passes = lambda w: F.coalesce(F.col(w).isNotNull() & self.value(test, {**{n: F.col(w)[n] for n in rows.names if n in variables(e)}, **cols}).truth(), F.lit(False))
+        kind = self.value(own, cols).term()["datatype"]
+        j = given.df.crossJoin(F.broadcast(one)).join(by, kind == F.col("__d"), "left")
+        return Rows(j.where(passes("__a") | passes("__b") | passes("__c")).select(*[f"`{n}`" for n in given.names]), given.names, given.sure)
+
     @staticmethod
     def split(patterns: list) -> tuple[list, list]:
         """A group's patterns and its own filters, which may name variables from outside."""
-        plain = [x for x in patterns if x[0] != "filter" or _has_exists(x[1])]
-        return plain, [x[1] for x in patterns if x[0] == "filter" and not _has_exists(x[1])]
+        plain = [x for x in patterns if x[0] != "filter" or has_exists(x[1])]
+        return plain, [x[1] for x in patterns if x[0] == "filter" and not has_exists(x[1])]
 
     def all(self, tests: list, cols: dict) -> Column:
         return reduce(lambda x, y: x & y, [self.value(e, cols).truth() for e in tests])
@@ -321,22 +463,51 @@ class Compiler:
         names = tuple(dict.fromkeys(n for p in parts for n in p.names))
         return Rows(df.select(*[f"`{n}`" for n in names]) if names else df, names, frozenset.intersection(*[p.sure for p in parts]))
 
+    @staticmethod
+    def needed(patterns: list) -> list:
+        """A group of which only the existence matters, without the optional parts that nothing behind them can tell."""
+        if not any(x[0] == "filter" for x in patterns):
+            while patterns and patterns[-1][0] == "optional":
+                patterns = patterns[:-1]
+        return patterns
+
     def filtered(self, rows: Rows, e: tuple) -> Rows:
         if e[0] == "op" and e[1] == "&&":
             return self.filtered(self.filtered(rows, e[2][0]), e[2][1])
         if e[0] == "op" and e[1] == "!" and e[2][0][0] == "exists":
             return self.filtered(rows, ("exists", e[2][0][1], not e[2][0][2]))
         if e[0] == "exists":
-            body, tests = self.split(e[1])
-            inner = self.group(body)
-            test = (lambda cols: self.all(tests, cols)) if tests else None
-            return self.join(rows, inner, "left_semi" if e[2] else "left_anti", test)
+            how, patterns = "left_semi" if e[2] else "left_anti", self.needed(e[1])
+            nested = [x for x in patterns if x[0] not in ("triple", "filter", "values") or x[0] == "filter" and has_exists(x)]
+            if not variables(nested) & set(rows.names):  # a join on shared variables says the same
+                body, tests = self.split(patterns)
+                inner = self.group(body)
+                if any(n in rows.sure and n in inner.sure for n in inner.names):
+                    return self.join(rows, inner, how, tests)
+            wide, found, extra = self.matching(rows, patterns)
+            j = wide.df.join(found.df, how=how) if not found.names else self.join(wide, found, how).df
+            return Rows(j.drop(*extra), rows.names, rows.sure)
         rows, e, extra = self.flagged(rows, e)
         df = rows.df.where(self.value(e, self.columns(rows)).truth())
         return Rows(df.drop(*extra) if extra else df, tuple(n for n in rows.names if n not in extra), rows.sure - set(extra))
 
+    def matching(self, rows: Rows, patterns: list) -> tuple[Rows, Rows, list[str]]:
+        """rows, with a key if need be; the distinct keys for which the group has a solution (a row without columns if it has one whatever they are); what to drop afterwards."""
+        used = tuple(n for n in rows.names if n in variables(patterns))
+        if not used:
+            return rows, Rows(self.group(patterns).df.select(F.lit(1).alias("__any")).limit(1), (), frozenset()), []
+        extra = []
+        if not set(used) <= rows.sure:  # a variable that may be unbound: what is bound tells the bindings apart
+            extra = [self.fresh("given")]
+            rows = Rows(rows.df.withColumn(extra[0], F.struct(*[F.col(f"`{n}`").alias(f"v{i}") for i, n in enumerate(used)])), (*rows.names, *extra), rows.sure | set(extra))
+        names = (*used, *extra)
+        given = Rows(rows.df.select(*[f"`{n}`" for n in names]).distinct(), names, rows.sure & set(names))
+        keys = tuple(extra) or used
+        found = self.group(patterns, given, True)
+        return rows, Rows(found.df.select(*[f"`{n}`" for n in keys]).distinct(), keys, frozenset(keys)), extra
+
     def flagged(self, rows: Rows, e: tuple) -> tuple[Rows, tuple, list[str]]:
-        """EXISTS within a larger expression: each becomes a column, true where a match joins."""
+        """EXISTS within a larger expression: each becomes a column, bound where the group has a solution."""
         extra: list[str] = []
 
         def walk(x):
@@ -345,12 +516,16 @@ class Compiler:
                 return [walk(y) for y in x] if isinstance(x, list) else x
             if x[0] != "exists":
                 return tuple(walk(y) for y in x)
-            inner = self.group(x[1])
-            shared = [n for n in inner.names if n in rows.sure and n in inner.sure]
             flag = self.fresh("exists")
-            keys = Rows(inner.df.select(*[f"`{n}`" for n in shared]).distinct().withColumn(flag, term("literal", "true", "", XSD + "boolean")), (*shared, flag), frozenset((*shared, flag)))
-            rows = self.join(rows, keys, "left")
-            extra.append(flag)
+            rows, found, key = self.matching(rows, self.needed(x[1]))
+            true = term("literal", "true", "", XSD + "boolean")
+            if found.names:
+                marked = Rows(found.df.withColumn(flag, true), (*found.names, flag), frozenset((*found.names, flag)))
+                rows = self.join(rows, marked, "left")
+            else:  # one row
+                any_ = found.df.agg((F.count(F.lit(1)) > 0).alias("__any"))
+                rows = Rows(rows.df.crossJoin(F.broadcast(any_)).withColumn(flag, F.when(F.col("__any"), true)).drop("__any"), (*rows.names, flag), rows.sure)
+            extra.extend([flag, *key])
             bound = ("call", "BOUND", [("var", flag)])
             return bound if x[2] else ("op", "!", [bound])
 
@@ -473,7 +648,7 @@ class Compiler:
             "STRENDS": lambda: Value("bool", F.endswith(t[0], t[1])),
             "STRBEFORE": lambda: Value("str", F.when(F.contains(t[0], t[1]), F.substr(t[0], F.lit(1), F.instr(t[0], t[1]) - 1)).otherwise("")),
             "STRAFTER": lambda: Value("str", F.when(F.contains(t[0], t[1]), F.substr(t[0], F.instr(t[0], t[1]) + F.length(t[1]))).otherwise("")),
-            "SUBSTR": lambda: Value("str", F.substr(t[0], v[1].num().cast("int"), *([v[2].num().cast("int")] if len(v) > 2 else []))),
+            "SUBSTR": lambda: Value("str", _part(t[0], *[F.floor(x.num() + 0.5).cast("int") for x in v[1:]])),
             "REPLACE": lambda: Value("str", F.regexp_replace(t[0], t[1], t[2])),
             "REGEX": lambda: Value("bool", F.rlike(t[0], F.concat(F.lit("(?i)"), t[1]) if len(args) > 2 and args[2][2:3] == ("i",) else t[1])),
             "ABS": lambda: number(F.abs(v[0].num())),
@@ -504,20 +679,31 @@ class Compiler:
     def aggregate(self, e: tuple, cols: dict) -> Column:
         _, name, distinct, arg, sep = e
         if arg is None:
-            return F.count(F.lit(1))
+            return F.count_distinct(F.struct(*cols.values())) if distinct and cols else F.count(F.lit(1))
         v = self.value(arg, cols)
         if name == "COUNT":
             return F.count_distinct(v.term()) if distinct else F.count(v.col)
         if name in ("SUM", "AVG"):
-            n = v.num()
-            f = {("SUM", False): F.sum, ("SUM", True): F.sum_distinct, ("AVG", False): F.avg}.get((name, distinct))
-            return f(n) if f else F.sum_distinct(n) / F.count_distinct(n)
+            return self.total(v, name, distinct)
         if name == "GROUP_CONCAT":  # sorted, so that reruns agree
             t = v.text()
             return F.array_join(F.array_sort(F.collect_set(t) if distinct else F.collect_list(t)), sep)
         t = v.term()
         return (F.max_by if name == "MAX" else F.min_by)(t, _order(t))
 
+    @staticmethod
+    def total(v: Value, name: str, distinct: bool) -> Column:
+        """SUM or AVG as a term of the widest type among the numbers: integer, decimal, float, double. An average of integers is a decimal; of no rows both are 0."""
+        n = v.num()
+        kind = v.term()["datatype"]
+        rank = F.max(F.when(n.isNull(), None).when(kind.isin(*WHOLE), 0).when(kind == XSD + "decimal", 1).when(kind == XSD + "float", 2).otherwise(3))
+        whole = v.col if v.kind == "int" else v.text().try_cast("decimal(38,0)")
+        sums = F.sum_distinct(n) if distinct else F.sum(n)
+        exact = F.when(rank == 0, (F.sum_distinct(whole) if distinct else F.sum(whole)).cast("string"))
+        text = F.coalesce(exact, _shown(sums.cast("double"))) if name == "SUM" else _shown((sums / (F.count_distinct(n) if distinct else F.count(n))).cast("double"))
+        named = F.element_at(F.array(*[F.lit(XSD + t) for t in ("integer", "decimal", "float", "double")]), (rank if name == "SUM" else F.greatest(rank, F.lit(1))) + 1)
+        return F.when(F.count(F.lit(1)) == 0, term("literal", "0", "", XSD + "integer")).when(rank.isNotNull(), term("literal", text, "", named))
+
     def grouped(self, q: Query, rows: Rows) -> tuple[Rows, dict]:
         """Groups and their aggregates, one column for each; and what each aggregate of the query is called."""
         cols = self.columns(rows)
@@ -534,7 +720,7 @@ class Compiler:
 
         for e in [e for _, e in q.items if e is not None] + q.having + [e for e, _ in q.order]:
             walk(e)
-        kinds = {"COUNT": "int", "SUM": "num", "AVG": "num", "GROUP_CONCAT": "str"}
+        kinds = {"COUNT": "int", "GROUP_CONCAT": "str"}
         outs = [Value(kinds.get(x[1], "term"), self.aggregate(x, cols)).col.alias(n) for n, x in calls.values()]
         df = rows.df.select(*[f"`{n}`" for n in rows.names], *[c.alias(f"__k_{n}") for n, c in keys.items()]) if keys else rows.df
         g = df.groupBy(*[F.col(f"`__k_{n}`").alias(n) for n in keys]) if keys else df.groupBy()
@@ -562,7 +748,7 @@ class Compiler:
         for n, e in items:
             if e is not None:
                 v = self.value(plain(e), self.columns(rows)).term()
-                rows = Rows(rows.df.withColumn(n, v), tuple(dict.fromkeys((*rows.names, n))), rows.sure | ({n} if e[0] == "agg" and e[1] in ("COUNT", "SUM") else frozenset()))
+                rows = Rows(rows.df.withColumn(n, v), tuple(dict.fromkeys((*rows.names, n))), rows.sure | ({n} if e[0] == "agg" and e[1] == "COUNT" else frozenset()))
         df = rows.df
         keys = [(plain(e), falling) for e, falling in q.order]
         out = [n for n, _ in items]
@@ -624,10 +810,6 @@ def _has_agg(x) -> bool:
     return _has(x, "agg")
 
 
-def _has_exists(x) -> bool:
-    return _has(x, "exists")
-
-
 def settled(df: DataFrame) -> DataFrame:
     """Lineage cut in the shared checkpoint folder if one is set, else cached."""
     sc = df.sparkSession.sparkContext
