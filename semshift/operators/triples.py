@@ -152,6 +152,11 @@ SPARQL = {
     "sparql_group_having": _P + """SELECT ?form (COUNT(DISTINCT ?t) AS ?triggers) (MAX(?c) AS ?most) (GROUP_CONCAT(DISTINCT ?kind; SEPARATOR=" ") AS ?kinds) WHERE {
         ?h v:aboutDrift ?e ; v:proposedTrigger ?t ; v:confidence ?c . ?e v:affectsWord ?w ; v:driftType/skos:prefLabel ?kind . ?w v:writtenForm ?form }
         GROUP BY ?form HAVING (COUNT(DISTINCT ?t) > 20) ORDER BY DESC(?triggers) ?form""",
+    "sparql_exists_or": _P + """SELECT ?name WHERE { ?t a v:TriggerEvent ; rdfs:label ?name ; v:eventDate ?d BIND(xsd:integer(STR(?d)) AS ?year)
+        FILTER(EXISTS { { ?h v:proposedTrigger ?t ; v:confidence ?c FILTER(?c >= 0.9 && ?year > 1950) } UNION { ?t v:triggerCategory ?k FILTER(?k = <http://example.org/r/category-ASIA> && ?year < 1930) } } || STRENDS(STR(?name), "7")) }""",
+    "sparql_not_exists_later": _P + """SELECT ?name WHERE { ?t a v:TriggerEvent ; rdfs:label ?name ; v:eventDate ?d BIND(xsd:integer(STR(?d)) AS ?year) FILTER NOT EXISTS { ?e v:driftYear ?y FILTER(xsd:integer(STR(?y)) < ?year) } }""",
+    "sparql_filter_join": _P + """SELECT ?name (COUNT(*) AS ?n) WHERE { ?e v:driftYear ?y . ?t v:eventDate ?d ; rdfs:label ?name FILTER(?y = ?d) } GROUP BY ?name""",
+    "sparql_band_join": _P + """SELECT ?a ?b WHERE { ?t v:eventDate ?d ; rdfs:label ?a . ?u v:eventDate ?f ; rdfs:label ?b FILTER(ABS(xsd:integer(STR(?d)) - xsd:integer(STR(?f))) <= 1) FILTER(STR(?a) < STR(?b)) }""",
     "sparql_values": _P + """SELECT ?name ?n WHERE { VALUES ?name { "Supplier#000000001"@en "Supplier#000000002"@en "nobody"@en } ?t rdfs:label ?name . { SELECT ?t (COUNT(*) AS ?n) WHERE { ?h v:proposedTrigger ?t } GROUP BY ?t } }""",
 }
 
@@ -203,5 +208,9 @@ SQL = {
     "sparql_minus": f"SELECT '{_R}event-' || event_id AS e FROM event WHERE type = '1-URGENT' AND drift_year IS NULL",
     "sparql_not_exists": f"SELECT '{_R}hyp-' || event_id || '-' || trigger_id AS h, CAST(confidence AS VARCHAR) AS confidence FROM hyp WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.event_id = hyp.event_id AND ev.trigger_id = hyp.trigger_id AND evidence <> 'Speculative')",
     "sparql_group_having": "SELECT form, CAST(count(DISTINCT trigger_id) AS VARCHAR) AS triggers, CAST(max(confidence) AS VARCHAR) AS most, string_agg(DISTINCT type, ' ' ORDER BY type) AS kinds FROM hyp JOIN event USING (event_id) JOIN word USING (word_id) GROUP BY form, lang HAVING count(DISTINCT trigger_id) > 20",
+    "sparql_exists_or": "SELECT label AS name FROM trig WHERE (date > 1950 AND trigger_id IN (SELECT trigger_id FROM hyp WHERE confidence >= 0.9)) OR (category = 'ASIA' AND date < 1930) OR label LIKE '%7'",
+    "sparql_not_exists_later": "SELECT label AS name FROM trig WHERE NOT EXISTS (SELECT 1 FROM event WHERE drift_year < date)",
+    "sparql_filter_join": "SELECT label AS name, CAST(count(*) AS VARCHAR) AS n FROM event JOIN trig ON drift_year = date GROUP BY label, trigger_id",
+    "sparql_band_join": "SELECT x.label AS a, y.label AS b FROM trig x JOIN trig y ON abs(x.date - y.date) <= 1 AND x.label < y.label",
     "sparql_values": "SELECT label AS name, CAST(count(*) AS VARCHAR) AS n FROM hyp JOIN trig USING (trigger_id) WHERE label IN ('Supplier#000000001', 'Supplier#000000002') GROUP BY label",
 }

@@ -15,6 +15,9 @@ data types that SPARQL has no equality for make `=` and `!=` errors unless they
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,6 +30,8 @@ from .parser import RDF, XSD, Query, SparqlError, parse
 #: The data types of numbers, of whole numbers.
 WHOLE = tuple(XSD + t for t in ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt"))
 NUMERIC = (XSD + "decimal", XSD + "double", XSD + "float", *WHOLE)
+#: How many times as many pairs as edges are worth squaring.
+FANNED = 4
 TERM = "struct<kind:string,value:string,lang:string,datatype:string>"
 
 
@@ -180,20 +185,28 @@ class Compiler:
         return d if start is None else d.where(F.col("s") == term(*[F.lit(x) for x in start[1:]]))
 
     def closure(self, p: tuple, start: tuple | None) -> DataFrame:
-        """`?`, `*` and `+`: distinct pairs. Of + and * only what the last round found is joined on; cycles end as nothing is new."""
+        """`?`, `*` and `+`: distinct pairs. Nodes are numbers on the way.
+
+        From one node: what is reached in less than 2^k steps, and pairs 2^k steps apart, give what is reached in less than
+        2^(k+1), so that a chain of n nodes takes log2(n) rounds. Where pairs so far apart outgrow the edges (FANNED times), the rest goes
+        edge by edge, from what is new. Without a start all pairs are squared. Cycles end, as nothing is new.
+        """
         _, inner, least, many = p
         edges = self.steps(inner).distinct()
-        first = edges if start is None else edges.where(F.col("s") == term(*[F.lit(x) for x in start[1:]]))
+        same_as = lambda t: F.col("s") == term(*[F.lit(x) for x in t[1:]])
         if many:
             edges = settled(edges)
-            found = new = settled(first)
-            step = edges.select(F.col("s").alias("m"), F.col("o").alias("to"))
-            while not new.isEmpty():
-                far = new.join(step, F.col("o") == F.col("m")).select("s", F.col("to").alias("o")).distinct()
-                new = settled(far.join(found, ["s", "o"], "left_anti"))
-                found = settled(found.unionByName(new))
+            ids = settled(edges.select("s").unionByName(edges.select(F.col("o").alias("s"))).distinct().withColumn("id", F.monotonically_increasing_id()))
+            e = edges.join(ids.withColumnRenamed("id", "a"), "s").select("a", F.col("o").alias("s")).join(ids.withColumnRenamed("id", "b"), "s").select("a", "b")
+            e = settled(e)
+            if start is None:
+                found = self.squared(e)
+                found = found.join(ids.select(F.col("id").alias("a"), "s"), "a").join(ids.select(F.col("id").alias("b"), F.col("s").alias("o")), "b").select("s", "o")
+            else:
+                first = e.join(ids.where(same_as(start)).select(F.col("id").alias("a")), "a", "left_semi").select("b").distinct()
+                found = self.reached(e, settled(first)).join(ids.select(F.col("id").alias("b"), F.col("s").alias("o")), "b").select(term(*[F.lit(x) for x in start[1:]]).alias("s"), "o")
         else:
-            found = first
+            found = edges if start is None else edges.where(same_as(start))
         if least == 0:
             if start is not None:
                 same = self.spark.createDataFrame([(start[1:], start[1:])], f"s {TERM}, o {TERM}")
@@ -203,6 +216,37 @@ class Compiler:
             found = found.unionByName(same).distinct()
         return found
 
+    @staticmethod
+    def squared(pairs: DataFrame) -> DataFrame:
+        """a, b: pairs that any number of steps lead from and to, in as many rounds as the longest way has binary digits."""
+        n = pairs.count()
+        while True:
+            far = pairs.select("a", F.col("b").alias("m")).join(pairs.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+            pairs = settled(pairs.unionByName(far).distinct())
+            before, n = n, pairs.count()
+            if n == before:
+                return pairs
+
+    @staticmethod
+    def reached(edges: DataFrame, first: DataFrame) -> DataFrame:
+        """b: nodes in `first` or any number of steps from there."""
+        found, n, power, most = first, first.count(), edges, FANNED * edges.count()
+        while power is not None:
+            found = settled(found.unionByName(found.select(F.col("b").alias("a")).join(power, "a").select("b")).distinct())
+            before, n = n, found.count()
+            if n == before:
+                return found
+            power = settled(power.select("a", F.col("b").alias("m")).join(power.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct())
+            if power.count() > most:
+                power = None
+        new = found
+        while True:
+            far = new.select(F.col("b").alias("a")).join(edges, "a").select("b").distinct()
+            new = settled(far.join(found, "b", "left_anti"))
+            if new.isEmpty():
+                return found
+            found = settled(found.unionByName(new))
+
     def along(self, s: tuple, p: tuple, o: tuple) -> Rows:
         if s[0] == "var" and o[0] == "term":  # a known end is where to begin
             return self.along(o, ("inverse", p), s) if p[0] != "closure" else self.along(o, ("closure", ("inverse", p[1]), *p[2:]), s)
@@ -344,7 +388,7 @@ class Compiler:
             if open_:
                 (rows, done), open_ = self.attached(given, rows, tests, last), False
                 if done:
-                    later.clear()
+                    later[:] = [e for e in later if has_exists(e)]
 
         def add(other: Rows) -> None:
             nonlocal rows
@@ -413,6 +457,18 @@ class Compiler:
         if rows is None:
             return given, False
         free = [n for n in rows.names if n in given.names]
+        if free and not any(n in given.sure and n in rows.sure for n in free) and (open_ := next((n for n in free if n in rows.sure), None)):
+            # bindings that have the variable join on it; for those that haven't, it is free
+            c = F.col(f"`{open_}`")
+            names = tuple(n for n in given.names if n != open_)
+            both = [Rows(given.df.where(c.isNotNull()), given.names, given.sure | {open_}), Rows(given.df.where(c.isNull()).drop(open_), names, given.sure)]
+            parts = []
+            for x in both:
+                found, done = self.attached(x, rows, tests, last)
+                for e in () if done else tests:
+                    found = self.filtered(found, e)
+                parts.append(found)
+            return self.union(parts), True
         outer = set(given.names) - set(rows.names)
         parts = [c for c in tests if variables(c) & outer and variables(c) & set(rows.names)]
         if last and not free and len(parts) <= 1:
@@ -811,12 +867,18 @@ def _has_agg(x) -> bool:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder if one is set, else cached."""
-    sc = df.sparkSession.sparkContext
-    where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if where and not sc.getCheckpointDir():
+    """Lineage cut in the folder that spark.checkpoint.dir names; where it is unset, in a folder of our own on a local master, an error on a cluster."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            where = "file://" + (own := tempfile.mkdtemp(prefix="semshift-paths-"))
+            atexit.register(shutil.rmtree, own, True)
         sc.setCheckpointDir(where)
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+    return df.checkpoint()
 
 
 def query(triples: DataFrame, text: str, prefixes: dict[str, str] | None = None, strict: bool = False, terms: bool = False, products: bool = False) -> DataFrame:

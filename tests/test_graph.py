@@ -219,6 +219,20 @@ def test_shapes(g):
     assert shapes.report(g.triples.limit(0)).count() == 0
 
 
+def test_shapes_know_classes_below_others(spark):
+    """Three levels of classes, a cycle among them, and bounds on frequencies."""
+    text = """@prefix e: <http://e/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix v: <http://e/v#> .
+    v:Corpus rdfs:subClassOf v:Collection . v:Collection rdfs:subClassOf v:Source . v:Source rdfs:subClassOf v:Collection . v:Other rdfs:subClassOf v:Thing .
+    e:w1 a v:Word ; v:inCorpus e:c . e:w2 a v:Word ; v:inCorpus e:o . e:w3 a v:Word ; v:inCorpus e:c , e:none . e:c a v:Corpus . e:o a v:Other .
+    e:f1 a v:FrequencyObservation ; v:ofWord e:w1 ; v:observedYear 1990 ; v:relativeFrequency -0.5 . e:f2 a v:FrequencyObservation ; v:ofWord e:w1 ; v:observedYear "c. 1990" ; v:relativeFrequency 0.5 ."""
+    triples = spark.createDataFrame([(s[1], p, o[1], o[0], o[2], o[3]) for s, p, o in turtle.parse(text)], "s string, p string, o string, kind string, lang string, datatype string")
+    assert shapes.subclasses(triples, ["Source"]) == {"Source": {"Source"}, "Collection": {"Source"}, "Corpus": {"Source"}}
+    rule = shapes.Rule("S", "Word", "inCorpus", of="Source", message="m")
+    assert {tuple(r)[:5] for r in shapes.report(triples, [rule], honest=None, anchored=False).collect()} == {("S", f"http://e/{w}", "inCorpus", "class", f"http://e/{o}") for w, o in (("w2", "o"), ("w3", "none"))}
+    found = {tuple(r)[1:5] for r in shapes.report(triples, shapes.MODELS, honest=None, anchored=False).collect() if r.focus.startswith("http://e/f")}
+    assert found == {("http://e/f1", "relativeFrequency", "minInclusive", "-0.5"), ("http://e/f2", "observedYear", "minInclusive", "c. 1990"), ("http://e/f2", "observedYear", "maxInclusive", "c. 1990")}
+
+
 def test_labels_and_counts(g):
     assert {(r.id.rsplit("/", 1)[-1].rsplit("#", 1)[-1], r.label, r.labelEn) for r in t.label_fallback(g.triples.drop("name")).collect()} == {("t1", "Launch", "Launch"), ("t2", "Krieg", "-"), ("t3", "t3", "-"), ("Tech", "technology", "technology"), ("Missing", "Missing", "-"), ("Nur", "nur", "-")}
     assert {r["class"]: r.n for r in t.entity_counts(g.triples).collect()}["Word"] == 5
