@@ -114,7 +114,7 @@ def report(triples: DataFrame, rules: list[Rule] | None = None, honest: float |
     asked = {r.path for r in rules if r.least is not None or r.most is not None} | ({"driftYear", "driftInterval"} if anchored else set()) | ({"evidenceType", "confidence"} if honest is not None else set())
     place = {p: 1 << i for i, p in enumerate(sorted(asked))}
     counted = sorted({r.path for r in rules if r.most is not None or (r.least or 0) > 1})
-    has = "CASE name " + " ".join(f"WHEN {q(p)} THEN {b}L" for p, b in place.items()) + " ELSE 0L END"
+    has = "CASE name WHEN 'type' THEN 0L " + " ".join(f"WHEN {q(p)} THEN {b}L" for p, b in place.items()) + " ELSE 0L END"
     aggs = [f"bit_or(IF(name = 'type', {own}, 0L)) AS own", f"bit_or({has}) AS has", *[f"count_if(name = {q(p)}) AS `n_{p}`" for p in counted]]
     if honest is not None:  # no text in it: the aggregation stays a hash one
         aggs += [f"min(IF(name = 'evidenceType', CAST({local} = 'Speculative' AS INT), NULL)) AS only", f"max(IF(name = 'confidence', {number}, NULL)) AS most"]
@@ -131,6 +131,8 @@ def report(triples: DataFrame, rules: list[Rule] | None = None, honest: float |
     if honest is not None:
         broken.append((f"own & {bit['CausalHypothesis']}L <> 0 AND only = 1 AND most >= {honest}", ("CausalHypothesisShape", "confidence", "sparql", f"speculation alone has a confidence below {honest}")))
     most = "CAST(most AS STRING)" if honest is not None else "CAST(NULL AS STRING)"
+    if not broken:
+        broken.append(("false", ("", "", "", "")))
     out = nodes.select("focus", those([c for c, _ in broken]), F.expr(most).alias("most")).select("focus", "most", facts([row for _, row in broken]).alias("r"))
     out = out.selectExpr("r.shape", "focus", "r.path", "r.constraint", "IF(r.constraint = 'sparql', most, NULL) AS value", "r.message")
 
