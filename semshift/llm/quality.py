@@ -153,7 +153,8 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, label: str = "quality", per_class: int = PER_CLASS, text: str = "text", doc_id: str = "doc_id") -> tuple[np.ndarray, Network | None]:
-    """The context table and the network; none where the sample has no row."""
+    """The context table and the network; none where the sample has no row. Of a labelled text longer than 256 KiB the sample takes
+    so much (labelled.sample); the table is of whole texts, and so are scores."""
     contexts = context_table(docs, text)
     own = docs.sparkSession.sparkContext.broadcast(contexts)
 

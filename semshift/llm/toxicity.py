@@ -171,7 +171,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, label: str = "toxic", per_class: int = PER_CLASS, text: str = "text", doc_id: str = "doc_id") -> tuple[Ratios, tuple]:
-    """Ratios and logistic curve. Four in five sample documents give the models' counts, the others fit the curve."""
+    """Ratios and logistic curve. Four in five sample documents give the models' counts, the others fit the curve. Of a labelled text longer than 256 KiB the
+    sample takes so much (labelled.sample); scores are of whole texts."""
     t = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     tri = docs.select(t.alias("t")).mapInArrow(_counts, "tri int, n long").groupBy("tri").agg(F.sum("n").alias("n")).toPandas()
     shared = Shared(tri["tri"].to_numpy(), tri["n"].to_numpy())

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from semshift.llm import caps, common, images, mixing, pieces, quality, records, shards, simhash, substring, toxicity
 
@@ -47,7 +48,25 @@ def test_repeated_ids_do_not_swell_a_sample(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
     got = sample(docs, labels, "toxic", 3, 1, 100).collect()
     assert len(got) <= 10 and {r.label for r in got} == {0, 1}
-    assert sample(docs, labels, "toxic", 3, 1, 100, most_bytes=15).count() < len(got)
+    few = sample(docs, labels, "toxic", 3, 1, 100, most_bytes=128).collect()
+    assert len(few) == len(got) and all(len(r.t) <= 2 for r in few)
+
+
+def test_one_long_text_keeps_no_other_out_of_a_sample(spark):
+    """Its class has as many documents as before, whatever its place in hash order; a model fitted on it still tells the classes apart."""
+    from semshift.llm.labelled import MOST_BYTES, SHARE, sample
+
+    rows = [(i, ("you vile rotten fool " if i % 2 else "calm kind gentle friend ") * 3 + str(i)) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = sample(docs, labels, "toxic", 3, 1, 1000)
+    least = base.where("label = 1").orderBy("u").count()
+    first = labels.where("toxic = 1 and pmod(crc32(cast(doc_id as string)), 3) <> 1").orderBy(F.xxhash64("doc_id", F.lit(5))).first().doc_id
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("you vile rotten fool "), 17 * 50_000)).otherwise(F.col("text")))
+    got = sample(long, labels, "toxic", 3, 1, 1000).collect()
+    assert sum(r.label for r in got) == least and max(len(r.t) for r in got) == MOST_BYTES // SHARE
+    scores = toxicity.score(docs, *toxicity.fit(long, labels)).collect()
+    assert all((r["__score"] >= 0.5) == bool(r.doc_id % 2) for r in scores)
 
 
 def test_score_keeps_clashing_columns(spark):
