@@ -1,11 +1,11 @@
 """Turtle and N-Triples as sources of triples, and N-Triples and Turtle as sinks.
 
-A Turtle file cannot be split (prefixes and open statements), so each file is one unit of work: files are spread over
-the executors and parsed there in Arrow batches; the driver sees no triple. N-Triples are read line by line with JVM
-expressions alone, so a file of any size splits; convert big Turtle once with `write_ntriples` or to Parquet.
+Files are spread over the executors and parsed there in Arrow batches; the driver sees no triple. A Turtle file up to BIG bytes is
+one unit of work; a bigger one is read in blocks that are cut where statements end (splits.py). N-Triples are read line by line with
+JVM expressions alone.
 
 A triple is s, p, o, kind ('iri', 'blank', 'literal'), lang, datatype. A file that doesn't parse gives no triple but one
-row with its error; the other files load. Blank nodes are named by file and place, so that reruns agree.
+row with its error (a big one a row for each block that doesn't parse); the other files load. Blank nodes are named by file and place, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -57,9 +57,9 @@ def _unescaped(s: str) -> str:
 class _Parser:
     """One document. Recursion is as deep as brackets nest."""
 
-    def __init__(self, text: str, name: str):
+    def __init__(self, text: str, name: str, mark: str = ""):
         self.text, self.at, self.prefixes, self.base, self.out = text, 0, {}, "", []
-        self.scope, self.made = blake2b(name.encode(), digest_size=6).hexdigest(), 0
+        self.scope, self.mark, self.made = blake2b(name.encode(), digest_size=6).hexdigest(), mark, 0
         self.kind, self.token = "", ""
         self.next()
 
@@ -109,7 +109,7 @@ class _Parser:
 
     def blank(self) -> Term:
         self.made += 1
-        return ("blank", f"_:{self.scope}n{self.made}", None, None)
+        return ("blank", f"_:{self.scope}{self.mark}n{self.made}", None, None)
 
     def term(self) -> Term:
         kind, token = self.kind, self.token
@@ -206,30 +206,50 @@ class _Parser:
         return self.out
 
 
-def parse(text: str, name: str = "") -> list[tuple[Term, str, Term]]:
-    """The triples of one Turtle document, in order; TurtleError where it doesn't follow the grammar."""
-    return _Parser(text.removeprefix("\ufeff"), name).run()
+def parse(text: str, name: str = "", mark: str = "") -> list[tuple[Term, str, Term]]:
+    """The triples of one Turtle document, in order; TurtleError where it doesn't follow the grammar. Blank nodes without a label are told apart by `mark` as well."""
+    return _Parser(text.removeprefix("\ufeff"), name, mark).run()
+
+
+#: Bytes from which a file is read in blocks.
+BIG = 64 << 20
+
+
+def rows_of(text: str | bytes, file: str, mark: str = "") -> list[tuple]:
+    """Rows as RAW says: a document's triples, or one row with its error."""
+    try:
+        return [(file, s[1], p, o[1], o[0], o[2], o[3], None) for s, p, o in parse(text.decode("utf-8") if isinstance(text, bytes) else text, file, mark)]
+    except (TurtleError, UnicodeDecodeError, RecursionError) as e:
+        return [(file, *[None] * 6, str(e) or type(e).__name__)]
+
+
+def _batches(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(c.split()[0], pa.string()) for c in RAW.split(", ")])
+    for i in range(0, len(found), 10_000):
+        cols = zip(*found[i : i + 10_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], schema=schema)
 
 
 def _parsed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in RAW.split(", ")]
-    schema = pa.schema([(n, pa.string()) for n in names])
     for b in parts:
         for path, content in zip(b.column(0), b.column(1), strict=True):
-            file = path.as_py()
-            try:
-                found = [(file, s[1], p, o[1], o[0], o[2], o[3], None) for s, p, o in parse(content.as_py().decode("utf-8"), file)]
-            except (TurtleError, UnicodeDecodeError, RecursionError) as e:
-                found = [(file, *[None] * 6, str(e) or type(e).__name__)]
-            for i in range(0, len(found), 10_000):
-                cols = zip(*found[i : i + 10_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], schema=schema)
-
-
-def read_turtle(spark: SparkSession, *paths: str, pattern: str = "*.ttl") -> DataFrame:
-    """All files of the folders, below them too. Rows as RAW says; those with an error stand for a whole file."""
+            yield from _batches(rows_of(content.as_py(), path.as_py()))
+
+
+def _block(text: str, file: str, block: int) -> Iterator[pa.RecordBatch]:
+    yield from _batches(rows_of(text, file, f"b{block}".replace("-", "r")))
+
+
+def read_turtle(spark: SparkSession, *paths: str, pattern: str = "*.ttl", big: int = BIG) -> DataFrame:
+    """All files of the folders, below them too. Rows as RAW says; those with an error stand for a whole file, or a block of a big one."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(list(paths))
-    return files.select("path", "content").mapInArrow(_parsed, RAW)
+    small = files.where(F.col("length") <= big).select("path", "content").mapInArrow(_parsed, RAW)
+    large = [r["path"] for r in files.where(F.col("length") > big).select("path").collect()]  # names of big files, as the listing has them
+    if not large:
+        return small
+    from .splits import read_blocks
+
+    return small.unionByName(read_blocks(spark, large, _block, RAW))
 
 
 def failed(raw: DataFrame) -> DataFrame:
