@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import QUALITIES, SOURCES, decade, rank_in
 from ..sources.lens import Entities
+from ..sources.single import write_single
 from .questions import connotations
 
 
@@ -236,6 +237,29 @@ def write_documents(e: Entities, path: str) -> None:
             df.write.json(f"{path}/{name}/{part}", ignoreNullFields=False)
 
 
+def write_document(e: Entities, path: str, which: str = "core") -> None:
+    """The core, detail or full document as one JSON file: an object of lists, or for detail of words by id. Rows are written where they are."""
+    as_json = lambda df: df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("line"))
+    parts = documents(e)[which]
+    spark = e.word.sparkSession
+    if which == "detail":
+        words = parts["words"]
+        key = F.to_json(F.array(F.col("id").cast("string")))
+        line = F.concat(F.expr("substring(k, 2, length(k) - 2)"), F.lit(":"), F.to_json(F.struct(*[c for c in words.columns if c != "id"]), {"ignoreNullFields": "false"}))
+        write_single(spark, path, ["{\n", words.withColumn("k", key).select(line.alias("line")), "\n}\n"])
+        return
+    total = lambda n: F.coalesce(F.max(F.when((F.col("facet") == "totals") & (F.col("value") == n), F.col("n"))), F.lit(0)).alias(n)
+    by = lambda n: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("facet") == n, F.struct("value", "n"))))).alias(n)
+    meta = parts["meta"].agg(*map(total, ("words", "rawWordNodes", "mergedDuplicates", "driftEvents", "triggers")), *map(by, ("byLanguage", "bySource", "byQuality")))
+    values = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("facet") == n, F.struct("ord", "value")))), lambda x: x["value"]).alias(n)
+    facet = parts["facets"].agg(*map(values, ("language", "driftType", "connotation", "evidenceType", "source", "quality")))
+    pieces: list = ['{\n"meta":', as_json(meta), ',\n"facets":', as_json(facet)]
+    for name, df in parts.items():
+        if name not in ("meta", "facets"):
+            pieces += [f',\n"{name}":[\n', as_json(df), "\n]"]
+    write_single(spark, path, [*pieces, "\n}\n"])
+
+
 def single_document(e: Entities, which: str = "core") -> dict:
     """The core, detail or full document as one object on the driver, for graphs that a browser can load anyway."""
     parts = {k: [r.asDict(recursive=True) for r in df.collect()] for k, df in documents(e)[which].items()}

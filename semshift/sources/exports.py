@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import csv_field, gyear, qid, slug, turtle_literal
 from ..operators.document import detail, flat, full_words, impact, words_light
 from .lens import Entities
+from .single import write_single
 
 #: The columns of the table of words and of the ledger.
 WORD_COLUMNS = ("writtenForm", "language", "source", "quality", "driftTypeLabels", "yearStart", "yearEnd", "hasTrigger")
@@ -46,6 +47,12 @@ def write_csv_words(e: Entities, path: str) -> None:
     write_csv(w, path, [F.coalesce(F.col("language") != "en", F.lit(True)), F.lower("writtenForm"), "id"], WORD_COLUMNS)
 
 
+def write_csv_words_file(e: Entities, path: str) -> None:
+    """The table of words as one file: byte order mark, header, rows in order, CR LF."""
+    w = word_table(e).orderBy(F.coalesce(F.col("language") != "en", F.lit(True)), F.lower("writtenForm"), "id")
+    write_single(w.sparkSession, path, ["\ufeff" + ",".join(WORD_COLUMNS) + "\r\n", w.select(csv_lines(w, WORD_COLUMNS).alias("line")), "\r\n"], "\r\n")
+
+
 def claims_ledger(e: Entities) -> DataFrame:
     """A row for each hypothesis, with all that bears on it. Lists are joined by "; "."""
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "; ").alias(f"source_{c}s")
