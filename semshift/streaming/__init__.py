@@ -24,19 +24,20 @@ def stream_turtle(spark: SparkSession, folder: str, pattern: str = "*.ttl", file
     return files.select("path", "content").mapInArrow(_parsed, RAW)
 
 
-def add_triples(batch: DataFrame, batch_id: int, path: str) -> None:
+def add_triples(batch: DataFrame, batch_id: int, path: str, run: str = "0") -> None:
     """Adds a batch's triples to the stored graph as a set: those that it holds already are left out.
 
-    Each batch writes a folder of its own, named by its number, so a batch that runs again after a failure overwrites what it left
-    behind. Only the predicates that the batch names are read for comparison.
+    Each batch writes a folder of its own, named by its stream (`run`) and number, so a batch that runs again after a failure overwrites
+    what it left behind, and a stream with a new checkpoint leaves alone what others have stored. Only the predicates that the batch names are read for comparison.
     """
     spark = batch.sparkSession
+    label = f"{run}-{batch_id}"
     batch = batch.persist()
     try:
         new = by_predicate(batch.where("s is not null").select(*TRIPLE).dropDuplicates())
         names = [r[0] for r in new.select("name").distinct().collect()]  # a vocabulary's predicates
         try:
-            old = read_graph(spark, path).where(F.col("batch") != batch_id)
+            old = read_graph(spark, path).where(F.col("batch") != label)
         except Exception as e:  # no batch has been written yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
@@ -44,8 +45,8 @@ def add_triples(batch: DataFrame, batch_id: int, path: str) -> None:
             old = old.where(F.col("name").isin(names)).alias("old")
             same = [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in (*TRIPLE, "name")]
             new = new.alias("new").join(old, same, "left_anti")
-        new.write.mode("overwrite").partitionBy("name").parquet(f"{path}/{TRIPLES}/batch={batch_id}")
-        batch.where("error is not null").select("file", "error").write.mode("overwrite").json(f"{path}/{ERRORS}/batch={batch_id}")
+        new.write.mode("overwrite").partitionBy("name").parquet(f"{path}/{TRIPLES}/batch={label}")
+        batch.where("error is not null").select("file", "error").write.mode("overwrite").json(f"{path}/{ERRORS}/batch={label}")
     finally:
         batch.unpersist()
 
@@ -55,7 +56,12 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/{TRIPLES}").parquet(f"{path}/{TRIPLES}")
 
 
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """What a checkpoint folder calls its stream, from its first start on."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
 def keep_graph(spark: SparkSession, folder: str, path: str, checkpoint: str, once: bool = False, **kw) -> StreamingQuery:
     """Starts the stream from a folder of Turtle into the graph stored at `path`; with `once` it takes what is there and ends."""
-    w = stream_turtle(spark, folder, **kw).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, i: add_triples(batch, i, path))
+    w = stream_turtle(spark, folder, **kw).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, i: add_triples(batch, i, path, run_of(batch.sparkSession, checkpoint)))
     return (w.trigger(availableNow=True) if once else w).start()

@@ -28,3 +28,15 @@ def test_a_batch_that_runs_again(spark, tmp_path):
         streaming.add_triples(raw, 0, str(tmp_path))
     streaming.add_triples(raw, 1, str(tmp_path))
     assert streaming.read_graph(spark, str(tmp_path)).count() == 1
+
+
+def test_a_new_checkpoint_keeps_what_is_stored(spark, tmp_path):
+    """Also after the first file and the first checkpoint are gone."""
+    folder, path = tmp_path / "in", str(tmp_path / "graph")
+    folder.mkdir()
+    for name, checkpoint in (("a", "c1"), ("b", "c2")):
+        for old in folder.iterdir():
+            old.unlink()
+        (folder / f"{name}.ttl").write_text(HEAD + f"e:{name} e:p e:o .")
+        streaming.keep_graph(spark, str(folder), path, str(tmp_path / checkpoint), once=True).awaitTermination()
+    assert sorted(r.s for r in streaming.read_graph(spark, path).collect()) == ["http://e/a", "http://e/b"]
