@@ -148,6 +148,8 @@ CROWD = 4096
 FEW = 1 << 18
 #: Bytes of the bitmap of a set's hashes: elements whose bit the other set lacks aren't shared, which bounds what two sets share.
 BITMAP = 256
+#: Longs of the smaller bitmap that the last join compares before a pair is made.
+FOLDED = 16
 
 
 def _ordered(h: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -231,7 +233,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
     Golay keys give the first links: fingerprints within 2 bits, sets compared. No pair is missed, though: in any order that
     all sets share, two sets with similarity `least` have one of the first n - ceil(least * n) + 1 shingles in common, so
     these are keys, common shingles last. Under each key the first and the last row meet all others; rows that this doesn't
-    connect meet a few of each other; then, wherever a key has further rows that aren't connected yet, every pair of those.
+    connect meet a few of each other; then, wherever a key has further rows that aren't connected yet, those pairs whose bitmaps leave the similarity possible.
     """
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _text(docs, text).alias("t"), *[F.col(c).alias(f"k_{c}") for c in keep])
     rows = stored(picked.withColumn("row", F.monotonically_increasing_id()), "near-rows")
@@ -256,13 +258,14 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
 
     def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            size, first, bits, fp, dealt = [], [], [], [], []
+            size, first, bits, folded, fp, dealt = [], [], [], [], [], []
             for t in b.column(1):
                 h = np.unique(shingle_hashes(t.as_py(), words))
                 size.append(len(h))
                 own = np.zeros(8 * BITMAP, bool)
                 own[h & np.uint64(8 * BITMAP - 1)] = True
                 bits.append(np.packbits(own).tobytes())
+                folded.append(np.packbits(own.reshape(-1, 64 * FOLDED).any(0)).view(np.int64))
                 fp.append(majority(h)[0])
                 k = _ordered(h, common, rank)[: len(h) - math.ceil(least * len(h) - 1e-9) + 1]
                 at = np.minimum(np.searchsorted(common, k), max(0, len(common) - 1))
@@ -271,9 +274,9 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
             off = pa.array(np.r_[0, np.cumsum([len(f) for f in first])].astype(np.int32))
             lists = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
             parts_of = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int32), *dealt])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), lists, parts_of, pa.array(bits, pa.binary())], ["row", "fp", "n", "keys", "deals", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), lists, parts_of, pa.array(bits, pa.binary()), pa.array(folded, pa.list_(pa.int64()))], ["row", "fp", "n", "keys", "deals", "bits", "folded"])
 
-    marked = stored(alone.mapInArrow(prefixes, "row long, fp long, n int, keys array<long>, deals array<int>, bits binary"), "near-prefixes")
+    marked = stored(alone.mapInArrow(prefixes, "row long, fp long, n int, keys array<long>, deals array<int>, bits binary, folded array<long>"), "near-prefixes")
 
     # fingerprints under one Golay key meet the key's least one, equal ones their first row: a star, whatever their number
     fps = stored(marked.groupBy("fp").agg(F.min("row").alias("rep")), "near-fingerprints")
@@ -346,12 +349,19 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
         forget(named, more, likely, sets, old)
     named = placed()
     forget(rest)
-    x = named.where("own <> main").select("key", F.col("row").alias("r"), F.col("m").alias("to"), F.col("own").alias("g"))
+    # a key's rows meet where some row is outside its first group; bitmaps are compared within the join, so that it makes no pair they rule out
+    keys_open = stored(named.where("own <> main").select("key").distinct(), "near-open-keys")
+    marks = [F.col("folded")[i].alias(f"f{i}") for i in range(FOLDED)]
+    named_open = stored(named.join(_small(keys_open), "key", "left_semi").join(marked.select("row", *marks), "row"), "near-open-rows")
+    x = named_open.where("own <> main").select("key", F.col("row").alias("r"), F.col("m").alias("to"), F.col("own").alias("g"), *[F.col(f"f{i}").alias(f"g{i}") for i in range(FOLDED)])
     other = (F.col("own") != F.col("g")) & can("m", "to") & ((F.col("own") == F.col("main")) | (F.col("row") < F.col("r")))
-    open_ = stored(x.join(named, "key").where(other).select(F.least("row", "r").alias("a"), F.greatest("row", "r").alias("b")).distinct(), "open-pairs")
+    lacks = lambda p, q: reduce(lambda c, d: c + d, [F.bit_count(F.col(f"{p}{i}").bitwiseAND(F.bitwise_not(f"{q}{i}"))) for i in range(FOLDED)])
+    n, n_to = F.shiftright("m", 32), F.shiftright("to", 32)
+    fits = F.least(n - lacks("f", "g"), n_to - lacks("g", "f")) * (1 + least) >= least * (n + n_to) - 1e-6
+    open_ = stored(x.join(named_open, "key").where(other & fits).select(F.least("row", "r").alias("a"), F.greatest("row", "r").alias("b")).distinct(), "open-pairs")
     likely = _likely(open_, marked, least)
     sets = _sets(likely, rows, words)
-    forget(named, open_, marked)
+    forget(named, keys_open, named_open, open_, marked)
     for lo, hi in ((0, 1), (1, 4), (4, 16)):  # those that a part of the pairs connects need no more comparing
         share = F.pmod(F.xxhash64("a", "b"), F.lit(16))
         part = stored(_apart(likely.where((share >= lo) & (share < hi)), comp), "open-part")
