@@ -34,9 +34,9 @@ def cq01(e: Entities, limit: int = 10) -> DataFrame:
     return best.join(words, "trigger_id").orderBy(F.desc("wordCount"), "eventYear", "triggerLabel", "trigger_id").select("triggerLabel", "eventYear", "wordCount", "words")
 
 
-def cq02(e: Entities, word: str = "w7") -> DataFrame:
-    """A row for each hypothesis and evidence type about one written form."""
-    w = _written(e).where(F.col("word") == F.lit(word))
+def cq02(e: Entities, word: str | None = "w7") -> DataFrame:
+    """A row for each hypothesis and evidence type about one written form; about every form for None."""
+    w = _written(e) if word is None else _written(e).where(F.col("word") == F.lit(word))
     j = e.event.select("event_id", "word_id").join(w, "word_id").join(e.claim.where("confidence is not null").select("hyp_id", "event_id", "trigger_id", "confidence", F.explode("evidence_en").alias("evidence")), "event_id")
     j = j.join(e.trigger.where("label_en is not null").select("trigger_id", F.col("label_en").alias("trigger")), "trigger_id")
     return j.orderBy(F.desc("confidence"), "evidence", "hyp_id").select("word", "trigger", "evidence", "confidence")
@@ -55,21 +55,31 @@ def _typed(e: Entities) -> DataFrame:
     return e.event.select("event_id", "word_id", F.col("drift_year").alias("year")).join(e.event_type.select("event_id", "type_id", F.col("type_en").alias("label")), "event_id").join(w, "word_id")
 
 
+def _side(typed: DataFrame, k: int) -> DataFrame:
+    return typed.select("type_id", F.col("word_id").alias(f"i{k}"), F.col("word").alias(f"word{k}"), F.col("lang").alias(f"lang{k}"), F.col("year").alias(f"year{k}"), F.col("label").alias(f"label{k}"))
+
+
+def pairs_by_form(e: Entities) -> DataFrame:
+    """The pairs of cq04 under each written form of theirs (form): to be filtered by it, which reaches one side before the join."""
+    x = _typed(e)
+    j = _side(x, 1).join(_side(x, 2), "type_id").where("lang1 <> lang2")
+    turn = F.col("i1").cast("string") > F.col("i2").cast("string")
+    twice = (F.col("word1") == F.col("word2")) & turn  # both ends have the form: the pair is there the other way round
+    ends = [F.when(turn, F.col(f"{c}{3 - k}")).otherwise(F.col(f"{c}{k}")).alias(f"{c}{k}") for c in ("i", "word", "lang", "year") for k in (1, 2)]
+    return j.where(~twice).select("type_id", "label1", F.col("word1").alias("form"), *ends)
+
+
 def cq04(e: Entities, word: str | None = None) -> DataFrame:
     """Pairs of events of one type whose words are of different languages, each pair once, the lesser word id first.
 
     As many rows as there are pairs, so quadratic in a type's events; with `word` only pairs in which that form takes part.
     `cq04_classes` says the same in one row for each event.
     """
-    x = _typed(e)
-    side = lambda d, k: d.select("type_id", F.col("word_id").alias(f"i{k}"), F.col("word").alias(f"word{k}"), F.col("lang").alias(f"lang{k}"), F.col("year").alias(f"year{k}"), F.col("label").alias(f"label{k}"))
     if word is None:
-        j = side(x, 1).join(side(x, 2), "type_id").where("lang1 <> lang2 and cast(i1 as string) < cast(i2 as string)")
+        x = _typed(e)
+        j = _side(x, 1).join(_side(x, 2), "type_id").where("lang1 <> lang2 and cast(i1 as string) < cast(i2 as string)")
     else:
-        j = side(x.where(F.col("word") == F.lit(word)), 1).join(side(x, 2), "type_id").where("lang1 <> lang2")
-        turn = F.col("i1").cast("string") > F.col("i2").cast("string")
-        twice = (F.col("word2") == F.lit(word)) & turn  # both ends have the form: the pair is there the other way round
-        j = j.where(~twice).select("type_id", "label1", *[F.when(turn, F.col(f"{c}{3 - k}")).otherwise(F.col(f"{c}{k}")).alias(f"{c}{k}") for c in ("i", "word", "lang", "year") for k in (1, 2)])
+        j = pairs_by_form(e).where(F.col("form") == F.lit(word))
     return j.orderBy("label1", "lang1", "word1", "i1", "i2").select(F.col("label1").alias("driftTypeLabel"), "word1", "lang1", "year1", "word2", "lang2", "year2")
 
 
@@ -103,7 +113,7 @@ def cq05(e: Entities) -> DataFrame:
 
 
 def cq06(e: Entities, year_from: int = 1900, year_to: int = 1999) -> DataFrame:
-    """Triggers dated within the years, with the number of distinct words; those without words stay."""
+    """Triggers dated within the years, both included, with the number of distinct words; those without words stay."""
     t = e.trigger.where(F.col("date").between(year_from, year_to)).select("trigger_id", F.col("label_en").alias("triggerLabel"), F.col("date").alias("year"), F.col("category_en").alias("category"))
     words = e.claim.select("event_id", "trigger_id").distinct().join(e.event.select("event_id", "word_id"), "event_id").select("trigger_id", "word_id").distinct().groupBy("trigger_id").agg(F.count(F.lit(1)).alias("words"))
     return t.join(words, "trigger_id", "left").orderBy("year", "triggerLabel", "trigger_id").select("triggerLabel", "year", "category", F.coalesce("words", F.lit(0)).cast("long").alias("words"))
@@ -140,12 +150,17 @@ def cq10(e: Entities) -> DataFrame:
     return j.orderBy("word", "first_attested", "sense_id").select("word", F.col("first_attested").alias("year"), F.col("connotation_en").alias("connotation"), F.col("gloss_en").alias("gloss"))
 
 
-def cq11(e: Entities, drift_type: str = "1-URGENT") -> DataFrame:
-    """Words with events of one type; hypothesis, trigger, confidence and label together or not at all."""
+def cq11(e: Entities, drift_type: str | None = "1-URGENT") -> DataFrame:
+    """Words with events of one type; hypothesis, trigger, confidence and label together or not at all. For None every type, as a column `type`."""
     local = F.element_at(F.split("type_id", "[#/]"), -1)
-    ev = e.event.join(e.event_type.where(local == F.lit(drift_type)), "event_id", "left_semi").select("event_id", "word_id", F.col("drift_year").alias("year")).join(_written(e), "word_id")
+    if drift_type is None:
+        ev = e.event.join(e.event_type.select("event_id", local.alias("type")).distinct(), "event_id")
+    else:
+        ev = e.event.join(e.event_type.where(local == F.lit(drift_type)), "event_id", "left_semi")
+    named = [] if drift_type is not None else ["type"]
+    ev = ev.select(*named, "event_id", "word_id", F.col("drift_year").alias("year")).join(_written(e), "word_id")
     h = e.claim.where("confidence is not null").select("hyp_id", "event_id", "trigger_id", "confidence").join(e.trigger.where("label_en is not null").select("trigger_id", F.col("label_en").alias("triggerLabel")), "trigger_id")
-    return ev.join(h, "event_id", "left").orderBy("year", "word", "event_id", "hyp_id").select("word", "year", "triggerLabel", "confidence")
+    return ev.join(h, "event_id", "left").orderBy("year", "word", "event_id", "hyp_id").select("word", "year", "triggerLabel", "confidence", *named)
 
 
 def cq12(e: Entities) -> DataFrame:

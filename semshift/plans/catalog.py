@@ -13,6 +13,7 @@ from ..operators import questions as q
 from ..operators import triples as t
 from ..operators import views as v
 from ..sources import exports, lens
+from . import functions
 
 #: Name of a query -> function of the entity tables.
 ANALYTICS: dict[str, Callable[[lens.Entities], DataFrame]] = {
@@ -33,6 +34,9 @@ ANALYTICS: dict[str, Callable[[lens.Entities], DataFrame]] = {
     "evidence_rung": v.evidence_rungs,
     "qid_extract": v.qids,
     **{n: getattr(t, n) for n in ("distinct_words", "optional_left", "optional_filtered", "interval_chain", "sense_rows", "word_senses", "words_admissible", "hyp_evidence", "trigger_collapse", "derive_source")},
+    "fn_triggers_in_range": lambda e: functions.called(e, "cq_triggers_in_range", "year_from => 1900, year_to => 1999"),
+    "fn_hypotheses": lambda e: functions.called(e, "cq_hypotheses", "word => 'w7'"),
+    "fn_cross_lingual": lambda e: functions.called(e, "cq_cross_lingual", "word => 'w7'"),
     "parse_year": t.parsed_years,
     "local_name": t.local_names,
     "fmt_gyear": t.gyears,
@@ -47,6 +51,7 @@ BY_LAW = ("beeswarm", "random_word")
 
 SQL = {
     **q.SQL, **d.SQL, **v.SQL, **t.SQL, **exports.sql(d._FLAT, d._LIGHT),
+    "fn_triggers_in_range": q.SQL["cq06"], "fn_hypotheses": q.SQL["cq02"], "fn_cross_lingual": q.SQL["cq04_word"],
     "drift_types": "SELECT DISTINCT type AS id, type AS label, CASE WHEN type[1] IN ('1', '2') THEN 'pressing' WHEN type[1] IN ('3', '4') THEN 'usual' END AS \"broaderId\", CASE WHEN type[1] IN ('1', '2') THEN 'pressing' WHEN type[1] IN ('3', '4') THEN 'usual' END AS \"broaderLabel\" FROM event",
 }
 
