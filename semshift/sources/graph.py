@@ -1,7 +1,8 @@
 """The entity tables read from triples, so that every analytic runs on a knowledge graph as it does on the lens.
 
 Predicates and classes are known by their local names, in whatever name space. Keep big graphs as `write_graph` does:
-Parquet by predicate, so that a table reads only its predicates' folders and columns.
+Parquet by predicate, so that a table reads only its predicates' folders and columns; or as `save_graph` does, by predicate and
+within each in buckets by subject, so that what is joined or grouped by subject (entity tables, stars of SPARQL patterns) stays where it is.
 """
 
 from __future__ import annotations
@@ -23,6 +24,25 @@ def write_graph(triples: DataFrame, path: str) -> None:
     by_predicate(triples).repartition("name", F.pmod(F.xxhash64("s"), F.lit(64))).write.partitionBy("name").parquet(path)
 
 
+def save_graph(triples: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """The triples as a catalog table at `path`, by predicate, each in buckets sorted by subject; an existing table of that name is an error.
+
+    A bucket of a predicate is one file, written by one task: choose as many buckets as keep the largest predicate's files near
+    a few hundred MB. A hot subject stands in one bucket.
+    """
+    t = by_predicate(triples).repartition(buckets, "s")  # as buckets are dealt, so that each task writes one file of a predicate
+    t.write.partitionBy("name").bucketBy(buckets, "s").sortBy("s").format("parquet").option("path", path).saveAsTable(table)
+
+
+def open_graph(spark: SparkSession, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """The triples that `save_graph` wrote, also in sessions whose catalog doesn't know the table yet; `buckets` as they were written."""
+    if not spark.catalog.tableExists(table):
+        fields = "s string, p string, o string, kind string, lang string, datatype string, name string"
+        spark.sql(f"CREATE TABLE {table} ({fields}) USING parquet PARTITIONED BY (name) CLUSTERED BY (s) SORTED BY (s) INTO {buckets} BUCKETS LOCATION '{path}'")
+        spark.sql(f"MSCK REPAIR TABLE {table}")
+    return spark.table(table)
+
+
 @dataclass(frozen=True)
 class Graph:
     """Takes the place of lens.Entities. triples: s, p, o, kind, lang, datatype and name, p's local name.

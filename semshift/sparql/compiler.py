@@ -130,8 +130,9 @@ class Compiler:
         return term(F.when(F.col("s").startswith("_:"), "blank").otherwise("iri"), F.col("s"))
 
     @staticmethod
-    def object() -> Column:
-        return term(F.col("kind"), F.col("o"), F.coalesce("lang", F.lit("")), F.coalesce("datatype", F.when(F.col("kind") == "literal", XSD + "string"), F.lit("")))
+    def object(of: str = "") -> Column:
+        o, kind, lang, datatype = (F.col(f"__{c}{of}" if of else c) for c in ("o", "kind", "lang", "datatype"))
+        return term(kind, o, F.coalesce(lang, F.lit("")), F.coalesce(datatype, F.when(kind == "literal", XSD + "string"), F.lit("")))
 
     @staticmethod
     def is_term(t: tuple) -> Column:
@@ -159,6 +160,31 @@ class Compiler:
                     cols[x[1]] = c
         return Rows(t.select(*[c.alias(n) for n, c in cols.items()] or [F.lit(1).alias("__one")]), tuple(cols), frozenset(cols))
 
+    def stars(self, patterns: list) -> list:
+        """The patterns, those with one variable as subject gathered where they have a predicate each and objects of their own."""
+        by: dict[str, list] = {}
+        patterns = [x for t in patterns for x in (t[2:] if t[0] == "star" else (t,))]
+        for t in patterns:
+            _, s, p, o = t
+            if s[0] == "var" and p[0] == "iri" and (o[0] == "term" or o[1] != s[1] and all(o != x[3] for x in by.get(s[1], ()))):
+                by.setdefault(s[1], []).append(t)
+        gathered = {id(t) for ts in by.values() if len(ts) > 1 for t in ts}
+        return [t for t in patterns if id(t) not in gathered] + [("star", ("var", s), *ts) for s, ts in by.items() if len(ts) > 1]
+
+    def star(self, s: str, patterns: list) -> Rows:
+        """Patterns of one subject joined by its text, which says all of a subject: a graph in buckets by subject needs no exchange."""
+        whole, cols = None, {}
+        weight = lambda t: t[3][0] == "term"
+        for i, (_, _, p, o) in enumerate(sorted(patterns, key=weight, reverse=True)):
+            t = self.scan(p[1])
+            if o[0] == "term":
+                t = t.where(self.is_term(o)).select("s")
+            else:
+                t = t.select("s", *[F.col(c).alias(f"__{c}{i}") for c in ("o", "kind", "lang", "datatype")])
+                cols[o[1]] = self.object(str(i))
+            whole = t if whole is None else whole.join(t, "s")
+        return Rows(whole.select(self.subject().alias(s), *[c.alias(n) for n, c in cols.items()]), (s, *cols), frozenset((s, *cols)))
+
     def steps(self, p: tuple, start: tuple | None = None) -> DataFrame:
         """s, o (terms): pairs that a path leads from and to; from `start` only, if given."""
         kind = p[0]
@@ -331,16 +357,21 @@ class Compiler:
 
     def bgp(self, patterns: list, seed: Rows | None, tests: list | tuple = ()) -> Rows | None:
         """Patterns in an order that keeps them connected, those with most constants first; parts without a common variable are joined by filters."""
-        left, rows = list(patterns), seed
-        weight = lambda t: sum(x[0] == "term" for x in (t[1], t[3])) * 2 + (t[2][0] == "iri")
-        uses = lambda t: {x[1] for x in (t[1], t[2], t[3]) if x[0] == "var"}
+        left, rows = self.stars(patterns), seed
+
+        def weight(t: tuple) -> int:
+            return max(map(weight, t[2:])) if t[0] == "star" else sum(x[0] == "term" for x in (t[1], t[3])) * 2 + (t[2][0] == "iri")
+
+        def uses(t: tuple) -> set[str]:
+            return set().union(*map(uses, t[2:])) if t[0] == "star" else {x[1] for x in t[1:4] if x[0] == "var"}
+
         while left:
             known, sure = (set(rows.names), rows.sure) if rows else (set(), frozenset())
             open_ = [t for t in left if not known or uses(t) & sure or not uses(t)]
             if open_:
                 t = max(open_, key=weight)
                 left.remove(t)
-                one = self.triple(*t[1:])
+                one = self.star(t[1][1], t[2:]) if t[0] == "star" else self.triple(*t[1:])
                 rows = one if rows is None else self.join(rows, one) if one.names else Rows(rows.df.join(one.df.limit(1), how="left_semi"), rows.names, rows.sure)
                 continue
             failed, rest = None, list(left)
