@@ -146,10 +146,13 @@ ROUNDS, HUBS = 2, 4
 CROWD = 4096
 #: Rows of numbers that may be broadcast: some 20 MB.
 FEW = 1 << 18
-#: Bytes of the bitmap of a set's hashes: elements whose bit the other set lacks aren't shared, which bounds what two sets share.
-BITMAP = 256
+#: Bytes of the bitmap of a set's hashes, and bits for each of them where that is more: elements whose bit the other set lacks aren't
+#: shared, which bounds what two sets share.
+BITMAP, SPARSE = 256, 4
 #: Longs of the smaller bitmap that the last join compares before a pair is made.
 FOLDED = 16
+#: Pairs that are compared at once; of more, the sixteenths that are compared at a time: what the first ones connect, the later ones leave out.
+AT_ONCE, SHARES = 1 << 14, ((0, 1), (1, 4), (4, 16))
 
 
 def _ordered(h: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -160,6 +163,20 @@ def _ordered(h: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, np.where(common[at] == h, rank[at], -1)))]
 
 
+def _bitmap(h: np.ndarray) -> np.ndarray:
+    """Which low bits the hashes have: as many places, a power of two, as keep the bitmap of a long set sparse too."""
+    own = np.zeros(max(8 * BITMAP, 1 << (SPARSE * len(h)).bit_length()), bool)
+    own[h & np.uint64(len(own) - 1)] = True
+    return own
+
+
+def _lacks(x: bytes, y: bytes) -> tuple[int, int]:
+    """How many elements of either bitmap's set the other can't have, at least; the longer bitmap is folded to the length of the other."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    p, q = (np.bitwise_or.reduce(b.reshape(-1, min(len(p), len(q))), axis=0) for b in (p, q))
+    return np.bitwise_count(p & ~q).sum(), np.bitwise_count(q & ~p).sum()
+
+
 def _likely(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
     """Those pairs whose bitmaps leave a similarity of `least` possible; none that has it goes."""
 
@@ -168,8 +185,8 @@ def _likely(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
             if not b.num_rows:
                 continue
             n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 4))
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (3, 5))
-            most = np.minimum(n - np.bitwise_count(x & ~y).sum(1), m - np.bitwise_count(y & ~x).sum(1))
+            x, y = np.array([_lacks(x.as_py(), y.as_py()) for x, y in zip(b.column(3), b.column(5), strict=True)], np.int64).T
+            most = np.minimum(n - x, m - y)
             yield b.select([0, 1]).filter(pa.array(most * (1 + least) >= least * (n + m) - 1e-6))
 
     def end(e: str) -> DataFrame:
@@ -218,6 +235,23 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _compared(pairs: DataFrame, rows: DataFrame, words: int, least: float, links: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links and their groups with those that the likely pairs add: a share of the pairs at a time, and of it those that are still apart.
+
+    So the whole sets stored and sent are those of one share. Reads the pairs for each share; deletes the groups before.
+    """
+    share = F.pmod(F.xxhash64("a", "b"), F.lit(SHARES[-1][1]))
+    for lo, hi in SHARES if pairs.count() > AT_ONCE else ((0, SHARES[-1][1]),):
+        part = stored(_apart(pairs.where((share >= lo) & (share < hi)), comp), "near-part")
+        if not part.isEmpty():
+            sets = _sets(part, rows, words)
+            links = links.unionByName(_alike(part, sets, least))
+            old, comp = comp, stored(components(links), "near-groups")
+            forget(sets, old)
+        forget(part)
+    return links, comp
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df to be broadcast if it has few rows, so that the texts it is joined with stay where they are; as it is otherwise."""
     return F.broadcast(df) if df.count() <= FEW else df
@@ -262,8 +296,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
             for t in b.column(1):
                 h = np.unique(shingle_hashes(t.as_py(), words))
                 size.append(len(h))
-                own = np.zeros(8 * BITMAP, bool)
-                own[h & np.uint64(8 * BITMAP - 1)] = True
+                own = _bitmap(h)
                 bits.append(np.packbits(own).tobytes())
                 folded.append(np.packbits(own.reshape(-1, 64 * FOLDED).any(0)).view(np.int64))
                 fp.append(majority(h)[0])
@@ -316,11 +349,8 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
     ends = stored(reduce(DataFrame.unionByName, ends).distinct(), "near-ends")
     apart = _apart(ends, comp)
     likely = _likely(apart, marked, least)
-    sets = _sets(likely, rows, words)
-    more = _alike(likely, sets, least)
-    old, comp = comp, stored(components(links.unionByName(more)), "near-groups")
-    links = links.unionByName(more)
-    forget(ends, likely, sets, old)
+    links, comp = _compared(likely, rows, words, least, links, comp)
+    forget(ends, likely)
 
     # keys with four rows or more have pairs that haven't met; one that is still apart has an end outside the group of the key's first row
     rest = met.where("part < 0 and c > 3 and row <> lo and row <> hi").select("key", "row", "m", "lo")
@@ -342,11 +372,9 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
         drawn = named.where("own <> main").groupBy("key").agg(F.array(*[F.min(u(j)) for j in range(HUBS)], *[F.max(u(j)) for j in range(HUBS)]).alias("hubs"))
         outside = named.where("own <> main").join(drawn, "key").select("row", "m", F.explode("hubs").alias("h")).select("row", "m", F.col("h.row").alias("hub"), F.col("h.m").alias("hub_m"))
         more = stored(outside.where(can("m", "hub_m")).select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct(), "near-more")
-        likely = _likely(more, marked, least)
-        sets = _sets(likely, rows, words)
-        links = links.unionByName(_alike(likely, sets, least))
-        old, comp = comp, stored(components(links), "near-groups")
-        forget(named, more, likely, sets, old)
+        likely = _likely(_apart(more, comp), marked, least)
+        links, comp = _compared(likely, rows, words, least, links, comp)
+        forget(named, more, likely)
     named = placed()
     forget(rest)
     # a key's rows meet where some row is outside its first group; bitmaps are compared within the join, so that it makes no pair they rule out
@@ -360,17 +388,9 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, text: str =
     fits = F.least(n - lacks("f", "g"), n_to - lacks("g", "f")) * (1 + least) >= least * (n + n_to) - 1e-6
     open_ = stored(x.join(named_open, "key").where(other & fits).select(F.least("row", "r").alias("a"), F.greatest("row", "r").alias("b")).distinct(), "open-pairs")
     likely = _likely(open_, marked, least)
-    sets = _sets(likely, rows, words)
     forget(named, keys_open, named_open, open_, marked)
-    for lo, hi in ((0, 1), (1, 4), (4, 16)):  # those that a part of the pairs connects need no more comparing
-        share = F.pmod(F.xxhash64("a", "b"), F.lit(16))
-        part = stored(_apart(likely.where((share >= lo) & (share < hi)), comp), "open-part")
-        if not part.isEmpty():
-            links = links.unionByName(_alike(part, sets, least))
-            old, comp = comp, stored(components(links), "near-groups")
-            forget(old)
-        forget(part)
-    forget(likely, sets)
+    links, comp = _compared(likely, rows, words, least, links, comp)
+    forget(likely)
 
     # rows that are alone in their group are what they are; only the others travel
     of = nodes.join(comp, F.col("rep") == F.col("node"), "left").where("rows > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("group"))

@@ -384,6 +384,20 @@ def unkeyed(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
+@pytest.mark.parametrize("at_once", [0, 1 << 14])
+def test_near_copies_compares_few_long_sets(spark, monkeypatch, at_once):
+    """Sets of long texts that bitmaps tell apart, and pairs that are connected already, are not sent to be compared; links stay."""
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    compared, alike = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *a: (compared.extend(map(tuple, pairs.collect())), alike(pairs, *a))[1])
+    long = [" ".join(f"w{i}" for i in range(at, at + 6000)) for at in (0, 2000)]  # two thirds in common, similarity 0.5
+    crowd = [" ".join(["a b c d e f g h"] + [f"x{k}y{i}" for i in range(500)] + [f"z{j}"]) for k in range(4) for j in range(6)]
+    df = spark.createDataFrame(list(enumerate([*long, *crowd])), "doc_id long, text string").repartition(1)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert got == {0: 0, 1: 1, **{2 + 6 * k + j: 2 + 6 * k for k in range(4) for j in range(6)}}
+    assert len(compared) == len(set(compared)) and not any({0, 1} == {a & ((1 << 33) - 1), b & ((1 << 33) - 1)} for a, b in compared)
+
+
 def test_stage_near_copies_with_null_and_repeated_ids(spark, unkeyed):
     import corpus_pipeline
 
