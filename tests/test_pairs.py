@@ -39,3 +39,14 @@ def test_runs_are_ordered_not_pairs(e):
     at = lambda name: [i for i, line in enumerate(lines) if name in line]
     assert at("Generate explode(years2") and max(at("Generate explode(years")) < min(at("Sort "))
     assert any("part#" in lines[i] for i in at("Join Inner"))
+
+
+def test_function_deals_a_type_into_parts(spark, e):
+    """The table function's pairs are the loops' pairs, by a join on type and part."""
+    from semshift.plans import functions
+
+    e.trigger = SimpleNamespace(sparkSession=spark)
+    got = functions.called(e, "cq_cross_lingual", "word => 'a'")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, e.want), key=repr)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert any("part#" in line for line in joins)
