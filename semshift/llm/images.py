@@ -2,8 +2,8 @@
 
 Corners (least-eigenvalue response, several scales) get an orientation from their intensity centroid and 96 binary tests
 turned by it. Descriptors meet on any of four 24-bit tables (pigeonhole: three differing bits or fewer can't miss); images with
-such a meeting are candidates. Their corners propose turn, scale and shift; a pair of images is a copy if enough
-distinct corners agree on one proposal.
+such a meeting are candidates, if 128 wider tests, of what lies around the corners, bear it out. Their corners propose turn, scale
+and shift; a pair of images is a copy if enough distinct corners agree on one proposal.
 
 The shipped tables hold no images, so the query draws one for each row of `embeddings` (`drawn`), indexes all of them,
 and searches edited copies of the rows whose id is divisible by 50.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -38,18 +38,21 @@ SCALES, CORNERS, RADIUS, TESTS, TURNS = (1.0, 0.84, 0.7), 16, 9, 96, 72
 #: bits spread by chance, 0.98 of corners share one), and of corners that vote;
 #: corners that must agree; sizes of proposals: degrees, octaves, pixels.
 NEAR_BITS, MOST_BITS, LEAST_VOTES, BIN_TURN, BIN_SCALE, BIN_SHIFT = 5, 14, 6, 20.0, 0.5, 6.0
+#: Wider tests; radius of the squares they compare; spread and reach of their ends in pixels; share of them, of those that lie within both
+#: images, that may differ about corners within NEAR_BITS; differing bits of less alike corners, and the share below which they count as well.
+WIDE, WIDE_SMOOTH, SPREAD, REACH, NEAR_SHARE, FAR_BITS, FAR_SHARE = 128, 2, 12.0, 22.0, 0.2, 8, 0.12
 
 
-def _tests(seed: int = 23) -> np.ndarray:
+def _tests(tests: int = TESTS, spread: float = RADIUS / 2.2, reach: float = RADIUS * 0.7, seed: int = 23) -> np.ndarray:
     """Offsets (turn, test, end, y/x): pairs drawn near the centre, turned in steps."""
     rng = np.random.default_rng(seed)
-    p = np.clip(rng.standard_normal((TESTS, 2, 2)) * RADIUS / 2.2, -RADIUS * 0.7, RADIUS * 0.7)
+    p = np.clip(rng.standard_normal((tests, 2, 2)) * spread, -reach, reach)
     a = np.arange(TURNS) * 2 * np.pi / TURNS
     rot = np.stack([np.stack([np.cos(a), np.sin(a)], 1), np.stack([-np.sin(a), np.cos(a)], 1)], 1)  # for (y, x)
     return np.rint(np.einsum("tij,ksj->tksi", rot, p)).astype(np.int64)
 
 
-_OFFSETS = _tests()
+_OFFSETS, _AROUND = _tests(), _tests(WIDE, SPREAD, REACH, 103)
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_Y**2 + _X**2 <= RADIUS**2).astype(np.float32)
 
@@ -152,8 +155,10 @@ def _resized(a: np.ndarray, s: float) -> np.ndarray:
 
 
 def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
-    """Descriptors of a stack of equally large images: image, y, x (of the full size), octave, turn (degrees), bits (12 bytes)."""
-    out: dict[str, list] = {k: [] for k in ("image", "y", "x", "octave", "turn", "bits")}
+    """Descriptors of a stack of equally large images: image, y, x (of the full size), octave, turn (degrees), bits (12 bytes),
+    wide (16 bytes), seen (16 bytes: the wider tests that lie within the image)."""
+    packed = {"bits": TESTS // 8, "wide": WIDE // 8, "seen": WIDE // 8}
+    out: dict[str, list] = {k: [] for k in ("image", "y", "x", "octave", "turn", *packed)}
     for s in SCALES:
         a = _resized(stack.astype(np.float32), s)
         n, h, w = a.shape
@@ -184,19 +189,24 @@ def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
         patch = a[i[:, None, None], y[:, None, None] + _Y, x[:, None, None] + _X] * _DISC
         turn = np.degrees(np.arctan2((patch * _Y).sum((1, 2)), (patch * _X).sum((1, 2))))
         smooth = _box(a, SMOOTH)
-        off = _OFFSETS[np.rint(turn / (360 / TURNS)).astype(int) % TURNS]
+        step = np.rint(turn / (360 / TURNS)).astype(int) % TURNS
+        off = _OFFSETS[step]
         v = smooth[i[:, None, None], y[:, None, None] + off[..., 0], x[:, None, None] + off[..., 1]]
+        ay, ax = y[:, None, None] + _AROUND[step, ..., 0], x[:, None, None] + _AROUND[step, ..., 1]
+        seen = ((ay > 0) & (ay < h - 1) & (ax > 0) & (ax < w - 1)).all(2)
+        around = _box(a, WIDE_SMOOTH)[i[:, None, None], np.clip(ay, 0, h - 1), np.clip(ax, 0, w - 1)]
         out["image"].append(i)
         out["y"].append((y + 0.5) / s)
         out["x"].append((x + 0.5) / s)
         out["octave"].append(np.full(len(i), np.log2(s)))
         out["turn"].append(turn)
-        out["bits"].append(np.packbits(v[..., 0] < v[..., 1], axis=1, bitorder="little"))
-    return {k: np.concatenate(v) if v else np.zeros((0, TESTS // 8) if k == "bits" else 0, np.uint8 if k == "bits" else np.float64) for k, v in out.items()}
+        for k, b in (("bits", v[..., 0] < v[..., 1]), ("wide", around[..., 0] < around[..., 1]), ("seen", seen)):
+            out[k].append(np.packbits(b, axis=1, bitorder="little"))
+    return {k: np.concatenate(v) if v else np.zeros((0, packed[k]) if k in packed else 0, np.uint8 if k in packed else np.float64) for k, v in out.items()}
 
 
 def descriptors(images: DataFrame, image_id: str = "image_id", image: str = "image") -> DataFrame:
-    """image_id, corner, y, x, octave, turn, b0 to b3 (24 bits each). What can't be decoded has none."""
+    """image_id, corner, y, x, octave, turn, b0 to b3 (24 bits each), wide0, wide1, seen0, seen1 (64 bits each). What can't be decoded has none."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
@@ -211,33 +221,43 @@ def descriptors(images: DataFrame, image_id: str = "image_id", image: str = "ima
                     d = describe(np.stack([pixels[i] for i in rows]))
                     own = d["image"].astype(int)
                     words = [d["bits"][:, 3 * k].astype(np.int32) | d["bits"][:, 3 * k + 1].astype(np.int32) << 8 | d["bits"][:, 3 * k + 2].astype(np.int32) << 16 for k in range(4)]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[rows[i]] for i in own], pa.int64()), pa.array(np.arange(len(own), dtype=np.int32)), *(pa.array(d[k].astype(np.float32)) for k in ("y", "x", "octave", "turn")), *(pa.array(x) for x in words)], ["image_id", "corner", "y", "x", "octave", "turn", "b0", "b1", "b2", "b3"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[rows[i]] for i in own], pa.int64()), pa.array(np.arange(len(own), dtype=np.int32)), *(pa.array(d[k].astype(np.float32)) for k in ("y", "x", "octave", "turn")), *(pa.array(x) for x in words), *(pa.array(np.ascontiguousarray(d[c]).view(np.int64)[:, k]) for c in ("wide", "seen") for k in range(2))], ["image_id", "corner", "y", "x", "octave", "turn", "b0", "b1", "b2", "b3", "wide0", "wide1", "seen0", "seen1"])
 
     rows = images.select(F.col(image_id).cast("long").alias("image_id"), F.col(image).alias("image"))
-    return rows.mapInArrow(run, "image_id long, corner int, y float, x float, octave float, turn float, b0 int, b1 int, b2 int, b3 int")
+    return rows.mapInArrow(run, "image_id long, corner int, y float, x float, octave float, turn float, b0 int, b1 int, b2 int, b3 int, wide0 long, wide1 long, seen0 long, seen1 long")
 
 
 def copies(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, image_id, votes of descriptor tables: images of the index that a query image is a copy of.
 
-    Two corners within three bits share one of the four tables' values, without exception. Images with corners that share a
-    value and differ in NEAR_BITS or less are candidates; then all their corners that differ in MOST_BITS or less vote, each
-    place of the query once. So alike corners of unlike images, of which there are as many as pairs of images, end at the tables
-    unless they are nearly equal.
+    Two corners within three bits share one of the four tables' values, without exception. Images are candidates if they have corners
+    that share a value, differ in NEAR_BITS or less, and in NEAR_SHARE or less of the wider tests that both images hold (all of
+    them if they hold none), or in FAR_BITS and less than FAR_SHARE; then all their corners that differ in MOST_BITS or less vote, each place
+    of the query once. Corners of unlike images are often alike, their surroundings seldom: so what grows with pairs of images ends
+    within the join of the tables.
     """
 
     def named(d: DataFrame, p: str) -> DataFrame:
         return d.select(*[F.col(c).alias(p + c) for c in d.columns])
 
     def keyed(d: DataFrame, p: str) -> DataFrame:
-        tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col(f"{p}b{k}").alias("v")) for k in range(4)])
-        words = [f"{p}b{k}" for k in range(4)]
-        return d.select(f"{p}image_id", *words, F.explode(tables).alias("k")).select(f"{p}image_id", *words, "k.t", "k.v")
-
-    q, m = named(queries, "q_"), named(index, "m_")
-    bits = sum((F.bit_count(F.col(f"q_b{k}").bitwiseXOR(F.col(f"m_b{k}"))) for k in range(4)), F.lit(0))
-    met = stored(keyed(q, "q_").join(keyed(m, "m_"), ["t", "v"]).where(bits <= NEAR_BITS).select("q_image_id", "m_image_id").distinct(), "image-candidates")
-    j = met.join(q, "q_image_id").join(m, "m_image_id").where(bits <= MOST_BITS)
+        b = [F.col(f"{p}b{k}").cast("long") for k in range(4)]
+        kept = [f"{p}image_id", f"{p}lo", f"{p}hi", *(f"{p}{c}{k}" for c in ("wide", "seen") for k in range(2))]
+        rows = d.withColumns({f"{p}lo": b[0] + b[1] * (1 << 24), f"{p}hi": b[2] + b[3] * (1 << 24)})
+        return rows.select(*kept, F.explode(F.array(*[x + (k << 24) for k, x in enumerate(b)])).alias("value"))
+
+    def differing(*pairs: tuple[str, Column | None]) -> Column:
+        both = [(F.col(f"q_{c}").bitwiseXOR(F.col(f"m_{c}")), within) for c, within in pairs]
+        return sum((F.bit_count(x if within is None else x.bitwiseAND(within)) for x, within in both), F.lit(0))
+
+    q, m = named(queries.drop("wide0", "wide1", "seen0", "seen1"), "q_"), named(index.drop("wide0", "wide1", "seen0", "seen1"), "m_")
+    seen = [F.col(f"q_seen{k}").bitwiseAND(F.col(f"m_seen{k}")) for k in range(2)]
+    held = sum((F.bit_count(x) for x in seen), F.lit(0))
+    bits, around = differing(("lo", None), ("hi", None)), differing(("wide0", seen[0]), ("wide1", seen[1]))
+    alike = (bits <= FAR_BITS) & ((bits <= NEAR_BITS) & (around <= held * NEAR_SHARE) | (around < held * FAR_SHARE))
+    pairs = keyed(named(queries, "q_"), "q_").join(keyed(named(index, "m_"), "m_"), "value").where(alike)
+    met = stored(pairs.select("q_image_id", "m_image_id").distinct(), "image-candidates")
+    j = met.join(q, "q_image_id").join(m, "m_image_id").where(differing(*[(f"b{k}", None) for k in range(4)]) <= MOST_BITS)
     turn = F.col("q_turn") - F.col("m_turn")
     octave = F.col("m_octave") - F.col("q_octave")
     a, s = F.radians(turn), F.pow(F.lit(2.0), octave)

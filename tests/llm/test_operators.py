@@ -349,6 +349,19 @@ def test_images_by_edit(spark):
     assert sum(q != i for q, i in got) <= 14
 
 
+def test_unlike_images_are_no_candidates(spark, monkeypatch):
+    """Corners that are alike by chance don't make candidates of unlike images: their number would grow with pairs of images."""
+    rng = np.random.default_rng(16)
+    v = rng.standard_normal((140, 64))
+    vec = spark.createDataFrame([(50 * i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    made, stored = {}, images.stored
+    monkeypatch.setattr(images, "stored", lambda df, name: made.setdefault(name, stored(df, name)))
+    found = {(r.query_id, r.image_id) for r in images.find_copies(images.drawn(vec, True), images.drawn(vec, False)).collect()}
+    candidates = set(map(tuple, made["image-candidates"].collect()))
+    assert found <= candidates and sum(q == m for q, m in candidates) >= 0.9 * 140
+    assert sum(q != m for q, m in candidates) <= 25
+
+
 def test_long_and_repeated_images(spark):
     """A large image keeps more corners; repeated images are one class with their number; a crop of a quarter of a large one is found."""
     rng = np.random.default_rng(17)
